@@ -1,0 +1,5 @@
+"""Nothing here on purpose: the feature set has no streaming operator.
+
+The nearest notion, comparing two extracts, is the batch operator
+``sitebooks.operators.receivables.snapshot_delta``.
+"""
