@@ -20,13 +20,14 @@ from .columns import (
     tidy_text,
     year_month,
 )
-from .frames import append_total, joined, repeated_text, sorted_text
+from .frames import append_total, broadcast_if_small, joined, repeated_text, sorted_text
 from .ordering import OrderedRows
 from .matching import containing_values, with_clues
 
 __all__ = [
     "OrderedRows",
     "append_total",
+    "broadcast_if_small",
     "clean_name",
     "clean_names",
     "containing_values",

@@ -7,7 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import joined, map_columns, matches, money, parse_day, quarter_label, tidy_text, year_month
+from ..functions import (
+    broadcast_if_small,
+    joined,
+    map_columns,
+    matches,
+    money,
+    parse_day,
+    quarter_label,
+    tidy_text,
+    total_or_zero,
+    year_month,
+)
 
 # Account patterns of the six profit categories.
 OPERATIONAL_INCOME = ".Operational Income:"
@@ -76,16 +87,15 @@ def _source(account: Column, is_expense: Column) -> Column:
     )
 
 
-def weighted_ledger(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
+def weighted_ledger(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rows of the six categories with ``source`` and ``copies``.
 
     A row counts once per category it falls into.  Aggregates multiply by
     ``copies`` instead of repeating the row, so one scan does for all categories.
-    Unknown amounts count as zero.
+    Unknown amounts count as zero.  ``accounts`` are the expense accounts; the
+    rows may be ledger rows or, cheaper, sums that still carry the account.
     """
-    marked = joined(
-        ledger, expense_accounts(expense_report).withColumn("is_expense", F.lit(True)), ["account"]
-    )
+    marked = joined(ledger, accounts.withColumn("is_expense", F.lit(True)), ["account"])
     is_expense = F.coalesce("is_expense", F.lit(False))
     patterns = (OPERATIONAL_INCOME, BILLABLE_INCOME, MATERIAL_INCOME, DIRECT_LABOR, DIRECT_MATERIAL)
     copies = is_expense.cast("int")
@@ -96,7 +106,7 @@ def weighted_ledger(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
             {
                 "copies": copies,
                 "source": _source(F.col("account"), is_expense),
-                "amount": F.coalesce("amount", F.lit(0).cast("decimal(18,2)")),
+                "amount": F.coalesce("amount", F.lit(0)),
             }
         )
         .drop("is_expense")
@@ -104,9 +114,22 @@ def weighted_ledger(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     )
 
 
+def classified_sums(ledger: DataFrame, expense_report: DataFrame, **by: Column) -> DataFrame:
+    """Category sums per ``by`` keys, account and source.
+
+    Account decides the category, so the ledger is summed per account first and
+    only those few sums meet the expense accounts.
+    """
+    keys = [c.alias(name) for name, c in by.items()]
+    sums = ledger.groupBy(*keys, "account").agg(total_or_zero("amount").alias("amount"))
+    weighted = weighted_ledger(sums, expense_accounts(expense_report))
+    return weighted.withColumn("amount", F.col("amount") * F.col("copies")).drop("copies")
+
+
 def classified_ledger(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     """The classified ledger as rows; a row in two categories appears twice."""
-    rows = weighted_ledger(ledger, expense_report)
+    accounts = broadcast_if_small(expense_accounts(expense_report))
+    rows = weighted_ledger(ledger, accounts)
     periods = {"year_month": year_month("date"), "year_quarter": quarter_label("date")}
     repeated = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
     return repeated.withColumns(periods).drop("__copy", "copies", "modification_date")

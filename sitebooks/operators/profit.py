@@ -13,6 +13,7 @@ from ..functions import (
     matches,
     quarter_label,
     total_or_null,
+    total_or_zero,
     year_month,
 )
 from .ledger import (
@@ -21,7 +22,7 @@ from .ledger import (
     DIRECT_MATERIAL,
     MATERIAL_INCOME,
     OPERATIONAL_INCOME,
-    weighted_ledger,
+    classified_sums,
 )
 
 Day = dt.date | str
@@ -76,8 +77,7 @@ def with_results(sums: DataFrame) -> DataFrame:
 
 
 def _sum_of(source: str, into: str) -> Column:
-    weighted = F.when(F.col("source") == source, F.col("amount") * F.col("copies"))
-    return F.coalesce(F.sum(weighted), F.lit(0)).alias(into)
+    return total_or_zero(F.when(F.col("source") == source, F.col("amount"))).alias(into)
 
 
 def monthly_profit(
@@ -85,13 +85,13 @@ def monthly_profit(
 ) -> DataFrame:
     """One row per month: category sums and the results derived from them.
 
-    The sums are conditional aggregates of one pass, so the shuffle carries one
-    partial row per month and task.
+    All aggregates are additive: each task hands on one partial row per month and
+    account, whatever the size of the ledger.
     """
     rows = ledger if first is None else ledger.where(within(first, last))
     sums = (
-        weighted_ledger(rows, expense_report)
-        .groupBy(year_month("date").alias("year_month"))
+        classified_sums(rows, expense_report, year_month=year_month("date"))
+        .groupBy("year_month")
         .agg(
             _sum_of("income", "income"),
             _sum_of("material_cost", "material_cost"),
@@ -111,20 +111,18 @@ def quarterly_profit(monthly: DataFrame) -> DataFrame:
 
 
 def income_by_customer(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
-    rows = weighted_ledger(ledger, expense_report).where("source = 'income' and customer is not null")
-    return (
-        rows.groupBy(quarter_label("date").alias("year_quarter"), "customer")
-        .agg(F.sum(F.col("amount") * F.col("copies")).alias("amount"))
-        .where("amount <> 0")
-    )
+    known = ledger.where(F.col("customer").isNotNull())
+    sums = classified_sums(
+        known, expense_report, year_quarter=quarter_label("date"), customer=F.col("customer")
+    ).where("source = 'income'")
+    return sums.groupBy("year_quarter", "customer").agg(F.sum("amount").alias("amount")).where("amount <> 0")
 
 
 def expense_by_account(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
-    rows = weighted_ledger(ledger, expense_report).where("source = 'expense'")
+    sums = classified_sums(ledger, expense_report, year_quarter=quarter_label("date"))
     return (
-        rows.groupBy(quarter_label("date").alias("year_quarter"), "account")
-        .agg(F.sum(F.col("amount") * F.col("copies")).alias("amount"))
-        .where("amount <> 0")
+        sums.where("source = 'expense' and amount <> 0")
+        .select("year_quarter", "account", "amount")
         .orderBy(F.desc_nulls_last("amount"))
     )
 

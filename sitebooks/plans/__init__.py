@@ -1,4 +1,4 @@
-from . import profit_queries  # noqa: F401  (importing registers the queries)
+from . import profit_queries, receivable_queries  # noqa: F401  (importing registers the queries)
 from .registry import CATALOGUE, checking_sql, spark_queries
 
 __all__ = ["CATALOGUE", "checking_sql", "spark_queries"]
