@@ -30,10 +30,11 @@ def containing_values(
     whatever the number of clues.
     """
     wanted = clues.select(F.col(clue)).where(F.col(clue).isNotNull() & (F.col(clue) != "")).distinct()
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length(clue))).alias("n")).scalar()
+    # as many rows as there are text lengths, so at most the longest clue: safe to broadcast
+    lengths = wanted.select(F.length(clue).alias("__n")).distinct()
     distinct = values.select(F.col(value)).where(F.col(value).isNotNull()).distinct()
-    sized = distinct.withColumn(
-        "__n", F.explode(F.filter(lengths, lambda n: n <= F.length(F.col(value))))
+    sized = distinct.withColumn("__n", F.explode(F.sequence(F.lit(1), F.length(value)))).join(
+        F.broadcast(lengths), "__n", "left_semi"
     )
     pieces = sized.select(
         F.col(value),

@@ -1,4 +1,9 @@
-from . import profit_queries, receivable_queries  # noqa: F401  (importing registers the queries)
+from . import (  # noqa: F401  (importing registers the queries)
+    expense_queries,
+    profit_queries,
+    project_queries,
+    receivable_queries,
+)
 from .registry import CATALOGUE, checking_sql, spark_queries
 
 __all__ = ["CATALOGUE", "checking_sql", "spark_queries"]

@@ -327,13 +327,13 @@ def type_amount_by_name(t: Tables):
     "invoice_subset_total",
     """with g as (select cast(date as varchar) as date, type, num, account, coalesce(amount, 0) as amount, customer, class
       from ledger where account is not null and not regexp_matches(account, 'Recei')
-      and num in (select num from invoices where due_date >= '2001-10-01'))
+      and num in (select num from invoices where due_date >= '2001-08-01'))
     select * replace (amount::double as amount) from g
     union all select '-', 'Total', '-', '-', coalesce(sum(amount), 0)::double, '-', '-' from g""",
 )
 def invoice_subset_total(t: Tables):
     rows = t.ledger("date", "type", "num", "account", "amount", "customer", "class")
-    overdue = t.view("invoices").where("due_date >= '2001-10-01'")
+    overdue = t.view("invoices").where("due_date >= '2001-08-01'")
     return R.invoice_subset_total(rows.withColumn("date", F.col("date").cast("string")), overdue)
 
 
