@@ -1,4 +1,5 @@
 from . import (  # noqa: F401  (importing registers the queries)
+    control_queries,
     expense_queries,
     profit_queries,
     project_queries,

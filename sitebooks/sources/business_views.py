@@ -156,6 +156,20 @@ VIEWS: dict[str, tuple[str, str]] = {
         "from payments_b group by project, services, subcontract, subcontract_name",
         "",
     ),
+    # one contract per project and subcontract id
+    "contracts": (
+        "select project, subcontract_id, cast(sum(contract_amount) as decimal(18,2)) as contract_amount, "
+        "sum(budget_days) as budget_days from subcontracts where subcontract_name <> 'Painting ' "
+        "group by project, subcontract_id",
+        "",
+    ),
+    "labor_controls": (
+        "select project, subcontract_id as controlabor_id, subcontract_name as controlabor_name, start_date, "
+        "cast(contract_amount * 2 as decimal(18,2)) as bid_price, contract_amount as labor_amount, "
+        "cast(contract_amount * 0.4 as decimal(20,4)) as materials, budget_days, used_days from subcontracts "
+        "where service <> 'SMALL'",
+        "",
+    ),
     "open_projects": (
         "select distinct c_mktsegment as project from customer where c_mktsegment <> 'FURNITURE'",
         "",
