@@ -1,5 +1,6 @@
 from . import (  # noqa: F401  (importing registers the queries)
     control_queries,
+    estimate_queries,
     expense_queries,
     profit_queries,
     project_queries,
