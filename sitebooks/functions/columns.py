@@ -60,7 +60,7 @@ def total(value: Column | str, skip_missing: bool) -> Column:
 
 def tidy_text(value: Column | str) -> Column:
     """Trim all white space, tabs and line breaks included."""
-    return F.regexp_replace(_col(value), r"^\s+|\s+$", "")
+    return F.trim(_col(value), F.lit(" \t\n\r\f\v"))
 
 
 def nth_piece(value: Column | str, separator: str, position: int) -> Column:

@@ -65,7 +65,7 @@ def append_total(
     once.
     """
     numeric = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in by]
-    sums = [F.coalesce(F.sum(f.name), F.lit(0)).cast(f.dataType).alias(f.name) for f in numeric]
+    sums = [F.coalesce(F.sum(f.name), F.lit(0)).alias(f.name) for f in numeric]
     grouped = df.groupBy(*by) if by else df.groupBy()
     totals = grouped.agg(*sums)
     summed = {f.name for f in numeric}

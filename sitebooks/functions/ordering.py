@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-SLICE, TIE = "__slice", "__tie"
+SLICE, COPY = "__slice", "__copy"
+# copies of one row that travel together before they are spread out again
+CHUNK = 1000
 
 
 class OrderedRows:
@@ -23,22 +25,39 @@ class OrderedRows:
 
     The cut is checkpointed: range borders come from a sample and must be the same
     for the rows and for what is carried over the borders, also after a lost
-    executor.  A random last sort key spreads identical rows over ranges; they are
-    interchangeable, so no result depends on it.
+    executor.
+
+    With ``unique`` the order keys identify a row.  Otherwise identical rows are
+    counted and numbered, which makes the order total and the same in every run;
+    a row with very many copies is cut into chunks that different ranges can hold.
+    ``order`` should then name all columns that matter, since rows that tie in it
+    but differ elsewhere keep no particular order.
     """
 
-    def __init__(self, df: DataFrame, order: Sequence[Column], slices: int | None = None):
+    def __init__(
+        self, df: DataFrame, order: Sequence[Column], unique: bool = False, slices: int | None = None
+    ):
         spark = df.sparkSession
         ensure_checkpoint_dir(spark)
         slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.columns = df.columns
-        self.order = [*order, F.col(TIE).asc()]
-        self.rows = (
-            df.withColumn(TIE, F.rand(7))
-            .repartitionByRange(slices, *self.order)
-            .withColumn(SLICE, F.spark_partition_id())
-            .checkpoint()
-        )
+        if unique:
+            self.order = list(order)
+            ranged = df.repartitionByRange(slices, *self.order)
+        else:
+            self.order = [*order, F.col(COPY).asc()]
+            chunks = (
+                df.groupBy(*df.columns)
+                .agg(F.count(F.lit(1)).alias("__n"))
+                .withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("__n"), F.lit(CHUNK))))
+            )
+            last = F.least(F.col("__n"), F.col(COPY) + (CHUNK - 1))
+            ranged = (
+                chunks.repartitionByRange(slices, *self.order)
+                .withColumn(COPY, F.explode(F.sequence(F.col(COPY), last)))
+                .drop("__n")
+            )
+        self.rows = ranged.withColumn(SLICE, F.spark_partition_id()).checkpoint()
 
     def running_total(self, value: str, into: str) -> DataFrame:
         """``value`` summed from the first row to each row."""

@@ -19,7 +19,6 @@ from ..functions import append_total, clean_names, joined, map_columns, matches,
 from .ledger import first_hit
 
 KEYS = ("difficulty", "surface", "material", "texture", "design", "thickness", "location", "type")
-PRICE_POSITIONS = ("difficulty", "texture", "design", "thickness")
 QUANTITY = "decimal(18,2)"
 
 # Rows that are no take-off lines, and the design framing assumes.
@@ -116,40 +115,42 @@ def service_area(clean: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(trade: str, source: Mapping[str, Column], extra: Sequence[Column]) -> Column:
-    """Struct of all keys; those the trade does not group by are null."""
-    keys = [source.get(k, F.lit(None).cast("string")).alias(k) for k in KEYS]
-    return F.struct(F.lit(trade).alias("trade"), *keys, *extra)
+def _tagged(rows: DataFrame, trades: Sequence[str]) -> DataFrame:
+    """Each row once per trade its service belongs to."""
+    hits = [F.when(F.col("service").rlike(TRADES[name].pattern), F.lit(name)) for name in trades]
+    return rows.withColumn("trade", F.explode(F.array_compact(F.array(*hits))))
 
 
-def _exploded(rows: DataFrame, options: Sequence[tuple[Column, Column]], keep: Sequence[str]) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(test, keyed) for test, keyed in options]))
-    return rows.select(*keep, F.explode(hits).alias("__k")).select(*keep, "__k.*")
+def _key(column: str, trades: Sequence[str], value: Column) -> Column:
+    """A key column, null for the trades that do not group by it."""
+    users = [name for name in trades if column in TRADES[name].keys]
+    return F.when(F.col("trade").isin(users), value) if users else F.lit(None).cast("string")
 
 
-def _key_sources(name: str, trade: Trade) -> dict[str, Column]:
-    source = {k: F.col(k) for k in trade.keys}
-    if name in ("framing", "drywall", "stucco"):
-        source["thickness"] = F.replace(F.col("thickness"), F.lit("''"), F.lit('"'))
-    if name in ("drywall", "finish"):
-        material = F.col("material")
-        source["material"] = F.when(material == "gypsum_type_x", "gypsum").otherwise(material)
-    return source
+def _takeoff_keys(trades: Sequence[str]) -> list[Column]:
+    trade, material, thickness = F.col("trade"), F.col("material"), F.col("thickness")
+    written = {
+        "material": F.when(trade.isin("drywall", "finish") & (material == "gypsum_type_x"), "gypsum").otherwise(
+            material
+        ),
+        "thickness": F.when(trade == "insulation", thickness).otherwise(
+            F.replace(thickness, F.lit("''"), F.lit('"'))
+        ),
+    }
+    return [_key(k, trades, written.get(k, F.col(k))).alias(k) for k in KEYS]
 
 
 def trade_quantities(clean: DataFrame, trades: Sequence[str]) -> DataFrame:
     """Summed area or hours per project, trade, service and key."""
-    options = []
-    for name in trades:
-        trade = TRADES[name]
-        measure = F.col(trade.measure).cast(QUANTITY).alias("measure")
-        options.append((F.col("service").rlike(trade.pattern), _keyed(name, _key_sources(name, trade), [measure])))
+    by_hours = [name for name in trades if TRADES[name].measure == "hours"]
+    measure = F.when(F.col("trade").isin(by_hours), F.col("hours")).otherwise(F.col("total_sf"))
     sums = (
-        _exploded(clean, options, ["project", "service"])
+        _tagged(clean, trades)
+        .select("project", "trade", "service", *_takeoff_keys(trades), measure.cast(QUANTITY).alias("measure"))
         .groupBy("project", "trade", "service", *KEYS)
         .agg(total_or_null("measure").alias("measure"))
     )
-    as_is = F.col("trade").isin(*[n for n in trades if not TRADES[n].rounded] or [""])
+    as_is = F.col("trade").isin([n for n in trades if not TRADES[n].rounded])
     quantity = F.when(as_is, F.col("measure")).otherwise(F.bround("measure", 0)).cast(QUANTITY)
     sums = sums.withColumns(
         {
@@ -160,7 +161,9 @@ def trade_quantities(clean: DataFrame, trades: Sequence[str]) -> DataFrame:
             ),
         }
     ).drop("measure")
-    return sums.where(_complete(trades))
+    sums = sums.where(_complete(trades))
+    # keys are unique but for framing, where lines that became alike count once
+    return sums.distinct() if "framing" in trades else sums
 
 
 def _complete(trades: Sequence[str]) -> Column:
@@ -177,16 +180,23 @@ def _complete(trades: Sequence[str]) -> Column:
 
 def trade_prices(prices: DataFrame, trades: Sequence[str]) -> DataFrame:
     """The price list under the key names of the take-off, per trade that looks it up."""
-    options = []
-    for name in trades:
-        trade = TRADES[name]
-        if trade.price:
-            source = {key: F.col(position) for key, position in trade.price.items()}
-            options.append((F.col("service").rlike(trade.pattern), _keyed(name, source, [F.col("price")])))
-    if not options:
-        empty = [F.lit(None).cast("string").alias(k) for k in ("trade", *KEYS)]
-        return prices.limit(0).select("service", *empty, "price")
-    return _exploded(prices, options, ["service"])
+    looked_up = [name for name in trades if TRADES[name].price]
+    columns = []
+    for key in KEYS:
+        cell = F.lit(None).cast("string")
+        for name in looked_up:
+            position = TRADES[name].price.get(key)
+            if position is not None:
+                cell = F.when(F.col("trade") == name, F.col(position)).otherwise(cell)
+        columns.append(cell.alias(key))
+    if not looked_up:
+        nothing = prices.where(F.lit(False)).withColumn("trade", F.lit(None).cast("string"))
+        return nothing.select("trade", "service", *columns, "price")
+    listed = _tagged(prices, looked_up).select("trade", "service", *columns, "price")
+    if "framing" not in looked_up:
+        return listed
+    framing = F.col("trade") == "framing"
+    return listed.where(framing).distinct().unionByName(listed.where(~framing))
 
 
 def _by_trade(cases: Mapping[str, Column]) -> Column:
@@ -255,20 +265,9 @@ def priced_lines(clean: DataFrame, prices: DataFrame, trades: Sequence[str] = tu
             ).cast(money),
         }
     )
-    if "framing" in trades:
-        # lines that became alike count once
-        lines = lines.distinct() if len(trades) == 1 else _distinct_framing(lines)
     return lines
 
 
-def _distinct_framing(lines: DataFrame) -> DataFrame:
-    """Number the copies of other trades' lines so that only framing lines merge."""
-    marked = lines.withColumn(
-        "__id", F.when(F.col("trade") != "framing", F.monotonically_increasing_id())
-    )
-    return marked.distinct().drop("__id")
-
-
 def _report(lines: DataFrame, trade: Trade, columns: Mapping[str, str], unpriced: bool = True) -> DataFrame:
     """Columns of one trade's sheet and its total row per project."""
     rows = lines.select("project", *[F.col(c).alias(new) for c, new in columns.items()])
@@ -371,7 +370,7 @@ def _flat(
     measure = F.col("sqft")
     if yards:
         measure = F.col("yards")
-        sums = sums.withColumn("yards", (F.col("sqft") / FEET_PER_YARD).cast("decimal(20,6)"))
+        sums = sums.withColumn("yards", (F.col("sqft") / FEET_PER_YARD).cast("decimal(18,6)"))
     listed = prices.where(F.col("price").isNotNull()).select("service", *on, "price")
     lines = joined(sums, listed, ["service", *on]).withColumn("total_price", F.col("price") * measure)
     rows = lines.distinct() if yards else lines

@@ -82,7 +82,7 @@ def seasonal_naive(series: DataFrame, days: int = 7) -> DataFrame:
 def ts_accuracy(predictions: DataFrame) -> DataFrame:
     """Error measures of predicted against actual values, over the given days."""
     actual, predicted = F.col("value").cast("double"), F.col("predicted").cast("double")
-    placed = OrderedRows(predictions, [F.asc_nulls_last("date")]).with_previous("value", 1, "before")
+    placed = OrderedRows(predictions, [F.asc_nulls_last("date")], unique=True).with_previous("value", 1, "before")
     error = F.abs(actual - predicted)
     step = F.abs(actual - F.col("before1").cast("double"))
     mae = F.avg(error)

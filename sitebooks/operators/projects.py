@@ -97,9 +97,9 @@ def invoices_by_project(invoices: DataFrame, clue: str) -> DataFrame:
 
 
 def type_counts(ledger: DataFrame) -> DataFrame:
-    """Number of ledger rows per type, most frequent first, with a total."""
+    """Number of ledger rows per type, with a total."""
     counts = ledger.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    return append_total(counts.orderBy(F.desc("n")), "type")
+    return append_total(counts, "type").orderBy(F.col("type") == "Total", F.desc("n"))
 
 
 # -- recent projects and their cash flow -------------------------------------------

@@ -308,10 +308,10 @@ def customer_pareto(ledger: DataFrame, as_of: dt.date, months: int) -> DataFrame
     by_customer = (
         ledger.where(F.col("date") >= since).groupBy("customer").agg(total_or_zero("amount").alias("amount"))
     )
-    grand = by_customer.agg(F.sum("amount").cast("double").alias("total")).scalar()
     order = [F.desc_nulls_last("amount"), F.asc_nulls_last("customer")]
-    running = OrderedRows(by_customer, order).running_total("amount", "running")
-    return running.select(
+    placed = OrderedRows(by_customer, order, unique=True)
+    grand = placed.rows.agg(F.sum("amount").cast("double")).scalar()
+    return placed.running_total("amount", "running").select(
         "customer",
         "amount",
         F.try_divide(F.col("amount").cast("double"), grand).alias("share"),

@@ -255,7 +255,7 @@ from (select *, case when lower(service) = 'drywall_installation' then material
     "flat_stucco",
     """with g as (select distinct a.*, p.price, p.price * a.yards as total_price from (
         select project, location, service, difficulty, design, texture, thickness, sum(total_sf)::decimal(18,2) as sqft,
-          (sum(total_sf) / 9)::decimal(20,6) as yards from flat where service = 'stucco' group by 1, 2, 3, 4, 5, 6, 7) a
+          (sum(total_sf) / 9)::decimal(18,6) as yards from flat where service = 'stucco' group by 1, 2, 3, 4, 5, 6, 7) a
       left join prices p on p.service = a.service and p.difficulty is not distinct from a.difficulty
         and p.design is not distinct from a.design and p.texture is not distinct from a.texture
         and p.thickness is not distinct from a.thickness)

@@ -1,4 +1,32 @@
 from .base_tables import table
 from .business_views import ledger, view, with_views
+from .readers import (
+    first_rows,
+    read_database,
+    read_folder,
+    read_named_sheet,
+    read_report_export,
+    read_sheet,
+    read_takeoff_csv,
+    sql_over,
+)
+from .writers import write_per_key, write_snapshot, write_table, write_workbook
 
-__all__ = ["ledger", "table", "view", "with_views"]
+__all__ = [
+    "first_rows",
+    "ledger",
+    "read_database",
+    "read_folder",
+    "read_named_sheet",
+    "read_report_export",
+    "read_sheet",
+    "read_takeoff_csv",
+    "sql_over",
+    "table",
+    "view",
+    "with_views",
+    "write_per_key",
+    "write_snapshot",
+    "write_table",
+    "write_workbook",
+]

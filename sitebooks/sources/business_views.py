@@ -112,12 +112,13 @@ _YEAR_FIRST = (
 VIEWS: dict[str, tuple[str, str]] = {
     # what the accounting system exports: everything is text, subtotal lines have no date
     "raw_export": (
-        f"select case when account is not null then ' ' || {_MONTH_FIRST.format('date')} end as date, "
+        "select case when account is not null then ' ' || shipped end as date, "
         "type || ' ' as transaction_type, num, name, memo as memo_description, ' ' || account as account, split, "
         "coalesce(cast(amount as string), '-') as amount, customer, class, "
-        f"{_MONTH_FIRST.format('creation_date')} || ' 10:20:30' as create_date, "
-        f"{_MONTH_FIRST.format('modification_date')} || ' 01:02:03' as last_modified from ledger",
-        "date type num name memo account split amount customer class creation_date modification_date",
+        "shipped || ' 10:20:30' as create_date, ordered || ' 01:02:03' as last_modified from (select *, "
+        f"{_MONTH_FIRST.format('creation_date')} as shipped, {_MONTH_FIRST.format('modification_date')} as ordered "
+        "from ledger) e",
+        "type num name memo account split amount customer class creation_date modification_date",
     ),
     "expense_report": (
         "select account from ledger where type = 'Expense' and account <> 'Other Expenses:Storage Rent'",
