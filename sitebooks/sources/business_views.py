@@ -284,34 +284,35 @@ def _price_list() -> str:
     design = "case when p_size % 5 = 0 then null when p_size % 2 = 0 then '20ga' else '25ga' end"
     thickness = "case when p_partkey % 2 = 0 then '5/8\"' else '7/8\"' end"
     grade = "cast(p_size % 3 + 1 as string)"
-    none = "cast(null as string)"
-    graded = " and p_size % 3 <> 2"
-    by_size = "(p_size % 40 + 100) * 0.01"
     drywall = (
         "case p_size % 6 when 0 then 1.88 when 1 then 2.01 when 2 then 1.30 when 3 then 1.34 when 4 then 1.22 "
         "else 1.18 end"
     )
-    # service, noun, difficulty, texture, design, thickness, condition, price
-    rows = [
-        ("framing", "ring", material, "lower(p_brand)", f"coalesce({design}, '20ga')", thickness,
-         " and p_brand <> 'Brand#3'", by_size),
-        ("drywall_installation", "bolt", grade, none, alias, thickness, graded, drywall),
-        ("plywood_installation", "widget", grade, none, none, none, graded, by_size),
-        ("finish", "gear", grade, alias, design, "lower(p_type)", graded, by_size),
-        ("stucco", "gizmo", grade, "lower(p_type)", design, thickness, graded, by_size),
-    ]
-    for service, kind in (("interior_paint", "'new'"), ("exterior_paint", "'repaint'")):
-        for place in ("'inside'", "'outside'", "'roof'"):
-            rows.append((service, "rod", grade, place, kind, none, graded, by_size))
-    parts = [
-        f"select '{service}' as service, {d} as difficulty, {t} as texture, {g} as design, {k} as thickness, "
-        f"cast({price} as decimal(18,2)) as price from part where {_NOUN} = '{noun}'{extra}"
-        for service, noun, d, t, g, k, extra, price in rows
+    offers = [
+        ("ring", "framing", "", ""),
+        ("bolt", "drywall_installation", "", ""),
+        ("widget", "plywood_installation", "", ""),
+        ("gear", "finish", "", ""),
+        ("gizmo", "stucco", "", ""),
+        *[("rod", "interior_paint", place, "new") for place in ("inside", "outside", "roof")],
+        *[("rod", "exterior_paint", place, "repaint") for place in ("inside", "outside", "roof")],
     ]
+    values = ", ".join(str(offer) for offer in offers)
     return (
-        "select service, difficulty, texture, design, thickness, min(price) as price from ("
-        + " union all ".join(parts)
-        + ") p group by service, difficulty, texture, design, thickness"
+        "select service, difficulty, texture, design, thickness, min(price) as price from (select service, "
+        f"case service when 'framing' then {material} else {grade} end as difficulty, "
+        f"case service when 'framing' then lower(p_brand) when 'finish' then {alias} when 'stucco' then lower(p_type) "
+        "when 'interior_paint' then place when 'exterior_paint' then place end as texture, "
+        f"case service when 'framing' then coalesce({design}, '20ga') when 'drywall_installation' then {alias} "
+        f"when 'finish' then {design} when 'stucco' then {design} when 'interior_paint' then kind "
+        "when 'exterior_paint' then kind end as design, "
+        f"case when service in ('framing', 'drywall_installation', 'stucco') then {thickness} "
+        "when service = 'finish' then lower(p_type) end as thickness, "
+        f"cast(case service when 'drywall_installation' then {drywall} else (p_size % 40 + 100) * 0.01 end "
+        "as decimal(18,2)) as price "
+        f"from part join (values {values}) as v(noun, service, place, kind) on v.noun = {_NOUN} "
+        "where case service when 'framing' then p_brand <> 'Brand#3' else p_size % 3 <> 2 end) p "
+        "group by service, difficulty, texture, design, thickness"
     )
 
 
