@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import (
+    broadcast_if_small,
     if_known,
     joined,
     map_columns,
@@ -36,8 +37,9 @@ HOUR_RATE = 21
 RATE = "decimal(4,2)"
 
 
-def _in_open(df: DataFrame, open_projects: DataFrame, key: str = "project") -> DataFrame:
-    return joined(df, open_projects.select("project").distinct(), [(key, "project")], "left_semi")
+def _in_open(df: DataFrame, open_projects: DataFrame) -> DataFrame:
+    """Keep open projects of a frame that is already summed per project."""
+    return joined(df, open_projects.select("project").distinct(), ["project"], "left_semi")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -169,7 +171,9 @@ def project_analysis_summary(analysis: DataFrame, sale_prices: DataFrame | None
 def change_orders(orders: DataFrame, open_projects: DataFrame) -> DataFrame:
     """Change orders of open projects with a readable number."""
     number = F.concat(F.lit("CO000"), F.coalesce(F.col("change_order_number").cast("string"), F.lit("NA")))
-    return _in_open(orders.withColumn("co_num", number).drop("change_order_number"), open_projects)
+    rows = orders.withColumn("co_num", number).drop("change_order_number")
+    # single orders, few projects: without a broadcast one hot project would be one partition
+    return joined(rows, broadcast_if_small(open_projects.select("project").distinct()), ["project"], "left_semi")
 
 
 def time_log_totals(time_logs: DataFrame, open_projects: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     profit_queries,
     project_queries,
     receivable_queries,
+    verb_queries,
 )
 from .registry import CATALOGUE, checking_sql, spark_queries
 

@@ -423,6 +423,6 @@ def ts_future(t: Tables):
       round(sqrt(avg((a - e) * (a - e))), 6) as rmse, round(power(corr(a, e), 2), 6) as rsq from p""",
 )
 def ts_accuracy(t: Tables):
-    series = t.view("daily_series")
-    test = T.ts_split(T.seasonal_naive(series)).where("part = 'test'")
+    split = T.ts_split(t.view("daily_series"))
+    test = T.seasonal_naive(split).where("part = 'test'")
     return T.ts_accuracy(test.drop("part"))

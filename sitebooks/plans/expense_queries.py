@@ -68,7 +68,8 @@ def expense_matrix(t: Tables):
 )
 def expense_budget(t: Tables):
     rows = X.expense_rows(t.ledger("date", "account", "name", "amount"), t.view("expense_report"))
-    return X.expense_budget(_matrix(t), X.account_vendors(rows, SINCE), AS_OF, without=WITHOUT)
+    matrix = _matrix(t, [*_LAST, *_THIS])
+    return X.expense_budget(matrix, X.account_vendors(rows, SINCE), AS_OF, without=WITHOUT)
 
 
 @query(

@@ -197,11 +197,11 @@ def test_indirect_is_not_direct(spark, rows):
 def test_cashflow_signs_and_short_names(spark, rows):
     book_rows = book(
         spark,
-        {"customer": "Client:Harbor House 5", "account": "Direct Labor (DL)", "type": "Bill", "amount": 7, "date": AS_OF},
-        {"customer": "Client:Harbor House 5", "account": "4.Operational Income:S", "amount": 9, "date": AS_OF},
+        {"customer": "Client:Willow Court 5", "account": "Direct Labor (DL)", "type": "Bill", "amount": 7, "date": AS_OF},
+        {"customer": "Client:Willow Court 5", "account": "4.Operational Income:S", "amount": 9, "date": AS_OF},
     )
     recent = projects.recent_projects(book_rows, AS_OF)
-    assert rows(recent, "project_name", "file_name", "n") == [("Harbor Ho", "harbor_ho.xlsx", 2)]
+    assert rows(recent, "project_name", "file_name", "n") == [("Willow Co", "willow_co.xlsx", 2)]
     flow = projects.project_cashflow(book_rows, recent)
     assert rows(flow, "direction", "amount") == [("IN", Decimal(9)), ("OUT", Decimal(-7))]
     assert projects.project_status(book_rows, recent).first()["status"] == 2
