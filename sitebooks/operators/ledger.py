@@ -48,14 +48,17 @@ def clean_export(raw: DataFrame, latest_first: bool = False) -> DataFrame:
     Subtotal lines (no date) go, texts are trimmed, amounts that are no number
     become null, and the creation and modification stamps are parsed.
     """
-    stamp = "M/d/yyyy H:m:s"
+
+    def stamp(column: str) -> Column:
+        return F.try_to_timestamp(column, F.lit("M/d/yyyy H:m:s")).cast("timestamp_ntz")
+
     texts = map_columns(raw.where(F.col("date").isNotNull()), tidy_text)
     typed = texts.withColumns(
         {
             "amount": money("amount"),
             "date": parse_day("date", "M/d/yyyy"),
-            "creation_date": F.try_to_timestamp("create_date", F.lit(stamp)),
-            "modification_date": F.try_to_timestamp("last_modified", F.lit(stamp)),
+            "creation_date": stamp("create_date"),
+            "modification_date": stamp("last_modified"),
         }
     )
     clean = typed.withColumnsRenamed({"transaction_type": "type", "memo_description": "memo"}).drop(
@@ -72,7 +75,7 @@ def clean_exports(exports: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 def expense_accounts(expense_report: DataFrame) -> DataFrame:
     """Distinct accounts that count as expense."""
     always = F.explode(F.array(*[F.lit(a) for a in ALWAYS_EXPENSE])).alias("account")
-    literal = expense_report.sparkSession.range(1).select(always)
+    literal = expense_report.sparkSession.range(0, 1, 1, 1).select(always)
     return expense_report.select("account").unionByName(literal).distinct()
 
 

@@ -293,7 +293,7 @@ def global_state(ledger: DataFrame, invoices: DataFrame, clues: Sequence[str]) -
     Invoices and payments are summed apart before they meet, so neither side
     multiplies the other.
     """
-    wanted = ledger.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in clues])).alias("clue"))
+    wanted = ledger.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(c) for c in clues])).alias("clue"))
     paid = with_clues(_positive_payments(ledger), "customer", clues)
     return _state(
         wanted,

@@ -11,7 +11,7 @@ from .registry import STEPS, Tables, query
 
 WINDOW = ("1996-01-01", "2001-06-20")
 AUDIT = ("2000-01-24", "2001-01-24")
-OWN_COMPANY = "Customer#000000(0|1)"
+OWN_COMPANY = "FURNITURE"
 ALIASES = (("MACH", "Machine Hall"), ("BUILD", "Main Building"), ("AUTO", "Garage"), ("HOUSE", "Houses"))
 
 STEPS["expense_set"] = (

@@ -28,7 +28,7 @@ select distinct l.*, i.open_balance from income_lines l left join invoices i on
 STEPS["statement_detail"] = """
 select date, client, case when project like '%BUILD%' then 'Main Building' when project like '%MACH%' then 'Machine Hall' end
   as project, case class when 'Materials Income' then 'Materials' when 'Billable Extras' then 'Extras' else class end as class,
-  num, amount, open_balance from open_lines where client like '%Customer#0000%' and open_balance > 1"""
+  num, amount, open_balance from open_lines where client like '%Customer%' and open_balance > 1"""
 STEPS["clue"] = "select unnest(['BUILD', 'MACH', 'no such client']) as clue"
 STEPS["open_by_clue"] = "select c.clue, i.* from invoices i join clue c on regexp_matches(i.name, c.clue)"
 STEPS["lines_by_clue"] = """
@@ -143,7 +143,7 @@ def invoice_clients(t: Tables):
 def _statement(t: Tables):
     lines = R.invoice_lines(t.ledger("date", "type", "account", "customer", "num", "amount"), INTEREST)
     full = R.lines_with_open_balance(lines, t.view("invoices"))
-    return R.account_statement(full, "Customer#0000", PROJECTS, CLASSES)
+    return R.account_statement(full, "Customer", PROJECTS, CLASSES)
 
 
 @query(
