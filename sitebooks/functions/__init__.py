@@ -17,6 +17,7 @@ from .columns import (
     total,
     total_or_null,
     total_or_zero,
+    total_where,
     tidy_text,
     year_month,
 )
@@ -51,6 +52,7 @@ __all__ = [
     "total",
     "total_or_null",
     "total_or_zero",
+    "total_where",
     "with_clues",
     "year_month",
 ]

@@ -55,6 +55,15 @@ def total(value: Column | str, skip_missing: bool) -> Column:
     return total_or_zero(value) if skip_missing else total_or_null(value)
 
 
+def total_where(condition: Column, value: str, skip_missing: bool = False) -> Column:
+    """Sum of the rows that fit, null when none do: a pivot cell without the pivot's second pass."""
+    fitting = F.when(condition, F.col(value))
+    needed = F.count_if(condition)
+    if skip_missing:
+        return F.when(needed > 0, F.coalesce(F.sum(fitting), F.lit(0)))
+    return F.when(needed == F.count(fitting), F.sum(fitting))
+
+
 # -- text ---------------------------------------------------------------------
 
 

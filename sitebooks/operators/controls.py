@@ -19,6 +19,7 @@ from ..functions import (
     repeated_text,
     total,
     total_or_null,
+    total_where,
 )
 from .ledger import alias_matching
 
@@ -54,15 +55,6 @@ def project_filter_counts(subcontracts: DataFrame, open_projects: DataFrame) ->
     return _in_open(counts, open_projects)
 
 
-def _sum_where(condition: Column, value: str, skip_missing: bool) -> Column:
-    """Sum of the rows that fit, null when none do: a pivot cell without the pivot's second pass."""
-    fitting = F.when(condition, F.col(value))
-    needed = F.count_if(condition)
-    if skip_missing:
-        return F.when(needed > 0, F.coalesce(F.sum(fitting), F.lit(0)))
-    return F.when(needed == F.count(fitting), F.sum(fitting))
-
-
 def payments_by_kind(
     payments: DataFrame, interest: str, names: Sequence[tuple[str, str]], skip_missing: bool = False
 ) -> DataFrame:
@@ -72,8 +64,8 @@ def payments_by_kind(
         payments.where(matches("project", interest))
         .groupBy(alias_matching(F.col("project"), names).alias("project"), F.col("services").alias("service"))
         .agg(
-            _sum_where(kind != EXPENSE, "amount_paid", skip_missing).alias("labor"),
-            _sum_where(kind == EXPENSE, "amount_paid", skip_missing).alias("materials"),
+            total_where(kind != EXPENSE, "amount_paid", skip_missing).alias("labor"),
+            total_where(kind == EXPENSE, "amount_paid", skip_missing).alias("materials"),
         )
     )
 
@@ -96,7 +88,7 @@ def _paid_by_type(payments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Payments per key: labor (subcontract and hourly) and materials; unknown sums count as zero."""
 
     def paid(kind: str) -> Column:
-        summed = _sum_where(F.col("transaction_type") == kind, "amount_paid", skip_missing=False)
+        summed = total_where(F.col("transaction_type") == kind, "amount_paid", skip_missing=False)
         return F.coalesce(summed, F.lit(0))
 
     return payments.groupBy(*keys).agg(

@@ -157,8 +157,10 @@ def new_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
         .na.drop("any")
         .distinct()
     )
-    vendors = known.groupBy("name").agg(F.min("date").alias("vendor_seen"))
-    accounts = known.groupBy(F.col("account").alias("name")).agg(F.min("date").alias("account_seen"))
+    # one small aggregate serves both look-ups: its shuffle is reused
+    firsts = known.groupBy("name", "account").agg(F.min("date").alias("seen"))
+    vendors = firsts.groupBy("name").agg(F.min("seen").alias("vendor_seen"))
+    accounts = firsts.groupBy(F.col("account").alias("name")).agg(F.min("seen").alias("account_seen"))
     marked = joined(joined(rows, vendors, ["name"]), accounts, ["name"])
 
     def seen(column: str) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    joined,
     matches,
     quarter_label,
-    total_or_null,
+    total,
     total_or_zero,
+    total_where,
     year_month,
 )
 from .ledger import (
@@ -187,14 +187,19 @@ def summary(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:
     )
 
 
+def _is_invoiced() -> Column:
+    """Invoice lines with a known amount, receivables aside."""
+    return (F.col("type") == "Invoice") & F.col("amount").isNotNull() & ~matches("account", "Receiva")
+
+
+def _is_expensed(own_company: str | None) -> Column:
+    """Project cost lines, without the company's own and without unknown customers."""
+    cost = matches("account", COST_ACCOUNTS) & F.col("customer").isNotNull()
+    return cost if own_company is None else cost & ~matches("customer", own_company)
+
+
 def invoiced_rows(ledger: DataFrame, first: Day, last: Day) -> DataFrame:
-    """Invoice lines of a period with a known amount, receivables aside."""
-    return ledger.where(
-        within(first, last)
-        & (F.col("type") == "Invoice")
-        & F.col("amount").isNotNull()
-        & ~matches("account", "Receiva")
-    )
+    return ledger.where(within(first, last) & _is_invoiced())
 
 
 def period_invoiced(ledger: DataFrame, first: Day, last: Day) -> DataFrame:
@@ -202,34 +207,39 @@ def period_invoiced(ledger: DataFrame, first: Day, last: Day) -> DataFrame:
 
 
 def expensed_rows(ledger: DataFrame, first: Day, last: Day, own_company: str | None = None) -> DataFrame:
-    """Project cost lines of a period, without the company's own and without unknown customers."""
-    rows = ledger.where(within(first, last) & matches("account", COST_ACCOUNTS) & F.col("customer").isNotNull())
-    return rows if own_company is None else rows.where(~matches("customer", own_company))
+    return ledger.where(within(first, last) & _is_expensed(own_company))
 
 
 def period_expensed(
     ledger: DataFrame, first: Day, last: Day, own_company: str | None = None, skip_missing: bool = False
 ) -> DataFrame:
-    amount = F.sum("amount") if skip_missing else total_or_null("amount")
+    amount = total("amount", skip_missing)
     return expensed_rows(ledger, first, last, own_company).groupBy("customer").agg(amount.alias("amount"))
 
 
 def period_total(by_customer: DataFrame, skip_missing: bool = False) -> DataFrame:
-    """Grand total of a by-customer table."""
-    amount = F.coalesce(F.sum("amount"), F.lit(0))
+    """Grand total of a by-customer table, zero when the table is empty."""
     known = F.count(F.lit(1)) == F.count("amount")
+    amount = total_or_zero("amount")
     return by_customer.agg((amount if skip_missing else F.when(known, amount)).alias("amount"))
 
 
-def period_result(invoiced: DataFrame, expensed: DataFrame) -> DataFrame:
-    """Invoiced against expensed per customer; what is missing counts as zero."""
-    both = joined(
-        invoiced.withColumnRenamed("amount", "amount_invoiced"),
-        expensed.withColumnRenamed("amount", "amount_expensed"),
-        ["customer"],
-        "full_outer",
+def period_result(ledger: DataFrame, first: Day, last: Day, own_company: str | None = None) -> DataFrame:
+    """Invoiced against expensed per customer; what is missing or unknown counts as zero.
+
+    Both sides are conditional sums of one pass over the ledger, so no join is
+    needed to bring them together.
+    """
+    invoiced = F.coalesce(_is_invoiced(), F.lit(False))
+    expensed = _is_expensed(own_company)
+    return (
+        ledger.where(within(first, last) & (invoiced | expensed))
+        .groupBy("customer")
+        .agg(
+            F.coalesce(total_where(invoiced, "amount"), F.lit(0)).alias("amount_invoiced"),
+            F.coalesce(total_where(expensed, "amount"), F.lit(0)).alias("amount_expensed"),
+        )
     )
-    return both.fillna(0, ["amount_invoiced", "amount_expensed"])
 
 
 def audit_extract(

@@ -246,10 +246,7 @@ def period_expensed_total(t: Tables):
       union select o.customer, a, b from outflow o left join inflow i on i.customer is not distinct from o.customer) r""",
 )
 def period_result(t: Tables):
-    rows = t.ledger(*_FOR_PERIOD)
-    return P.period_result(
-        P.period_invoiced(rows, *WINDOW), P.period_expensed(rows, *WINDOW, own_company=OWN_COMPANY)
-    )
+    return P.period_result(t.ledger(*_FOR_PERIOD), *WINDOW, own_company=OWN_COMPANY)
 
 
 def _audit_sql(account: str, amount: str, more: str = "") -> str:

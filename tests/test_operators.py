@@ -88,9 +88,20 @@ def test_export_cleaning(spark):
 
 
 def test_period_result_keeps_both_sides(spark, rows):
-    a = spark.createDataFrame([("x", 1), (None, 2)], "customer string, amount int")
-    b = spark.createDataFrame([("x", 5), ("y", 6)], "customer string, amount int")
-    assert rows(profit.period_result(a, b)) == sorted([("x", 1, 5), (None, 2, 0), ("y", 0, 6)], key=repr)
+    book_rows = book(
+        spark,
+        {"customer": "x", "account": "4.Operational Income:S", "amount": 1},
+        {"customer": "x", "account": "Direct Labor (DL)", "type": "Bill", "amount": 5},
+        {"customer": None, "account": "4.Operational Income:S", "amount": 2},
+        {"customer": None, "account": "Direct Labor (DL)", "type": "Bill", "amount": 9},
+        {"customer": "y", "account": "Direct Labor (DL)", "type": "Bill", "amount": 6},
+        {"customer": "z", "account": "Direct Labor (DL)", "type": "Bill", "amount": None},
+        {"customer": "own", "account": "Direct Labor (DL)", "type": "Bill", "amount": 8},
+        {"customer": "x", "account": "Accounts Receivable", "amount": 7},
+    )
+    got = rows(profit.period_result(book_rows, "2001-01-01", "2001-12-31", own_company="own"))
+    assert [(c, int(a), int(b)) for c, a, b in got] == sorted(
+        [("x", 1, 5), (None, 2, 0), ("y", 0, 6), ("z", 0, 0)], key=repr)
 
 
 def test_aging_rules(spark):
