@@ -10,11 +10,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import round_trip
 from .decontamination import contamination
+from .language_id import languages
+from .language_model import scores
 from .licenses import license_report, notices
 from .line_dedup import deduplicated_lines
 from .nearest import nearest
 from .ngram_join import ngram_components
+from .quality import quality_scores
 from .shared import shared_folder
 from .token_counts import token_counts
 
@@ -56,6 +60,23 @@ def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), path, shared_folder(spark))
 
 
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scores(table(spark, folder, "documents"))
+
+
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"))
+
+
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_report(table(spark, folder, "documents"), notices(spark))
 
@@ -69,7 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_ngram_jaccard": ngram_jaccard,
     "op3_nearest": nearest_vectors,
+    "op4_quality": quality,
     "op5_token_counts": counted_tokens,
+    "op6_lm_scores": lm_scores,
+    "op7_byte_bpe": bpe_round_trip,
+    "op8_language_id": language_id,
     "op9_license_scan": license_scan,
     "op10_line_dedup": line_dedup,
 }
