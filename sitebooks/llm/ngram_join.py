@@ -47,7 +47,7 @@ from .shared import (
 #: Rounds in which each bucket compares its sets with one centre.
 CENTRE_ROUNDS = 2
 #: Components in a bucket above which its token counts as frequent and is combined.
-FREQUENT = 8
+FREQUENT = 32
 _WORDS = 16  # 64-bit words of a parity bitmap
 
 
@@ -180,7 +180,9 @@ class _Join:
         step = float(np.log(100 / self.percent)) if self.percent < 100 else 1.0
         # half a class of shift in every other round, so that sizes near a border meet too
         sized = placed.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + turn / 2).cast("int"))
-        pick = F.struct(F.xxhash64(F.col("id"), F.lit(turn)).alias("h"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("of"))
+        # few rarer tokens before this one: closest to what the bucket has in common
+        first = F.col("pos") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
+        pick = F.struct(first.alias("h"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("of"))
         centres = sized.groupBy("token", "size").agg(F.min(pick).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         centres = centres.where("lo < hi").select("token", "size", "c.*")
         met = sized.join(centres, ["token", "size"]).where("component <> of")
@@ -196,8 +198,13 @@ class _Join:
         often = met.where(F.col("held") > FREQUENT).join(longer, "id")
         often = often.withColumn("next", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix")))).drop("prefix")
         keyed = staged(rare.unionByName(often).drop("held"))
-        groups = keyed.select("token", "next", "component").distinct()
-        two = groups.withColumnRenamed("component", "of_a").join(groups.withColumnRenamed("component", "of_b"), ["token", "next"]).where("of_a < of_b")
+        # what the members of a component can reach at best decides whether they are paired at all
+        best = [F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("least")]
+        groups = keyed.groupBy("token", "next", "component").agg(*best)
+        one, other = (groups.withColumnsRenamed({c: f"{c}_{s}" for c in ("component", "rest", "least")}) for s in "ab")
+        reach = F.least("rest_a", "rest_b")
+        two = one.join(other, ["token", "next"]).where((F.col("component_a") < F.col("component_b")) & _may_link(F.col("least_a"), F.col("least_b"), reach, self.percent))
+        two = two.select("token", "next", F.col("component_a").alias("of_a"), F.col("component_b").alias("of_b"))
         side = lambda s: keyed.select("token", "next", F.col("component").alias(f"of_{s}"), F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"))
         pairs = two.join(side("a"), ["token", "next", "of_a"]).join(side("b"), ["token", "next", "of_b"])
         return self.bounded(pairs)
