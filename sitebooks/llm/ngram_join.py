@@ -6,9 +6,9 @@ Under one order of all tokens (rare first) they therefore meet within their firs
 
 1. a sketch of fixed size counts all shingles of all texts; it gives the rare-first order;
 2. every distinct set posts its prefix tokens; only tokens posted twice matter;
-3. rounds of centres: in each bucket (token, size class) one set is compared with the rest; what
-   links becomes one component, so copies are compared with a representative and not pairwise;
-4. the remainder is exact: sets of one bucket that are still in different components are paired.
+3. centres: in each bucket (token, size class) the set with the fewest rarer tokens is compared with
+   the rest, so copies meet a representative and not each other;
+4. the remainder is exact: sets of one bucket that have no common centre are paired.
    A token whose bucket holds few components is an index key by itself; for a frequent one the key
    is the token combined with each later token of the one-token-longer prefix;
 5. candidates pass length, position and parity-bitmap bounds, then the sets are compared.
@@ -44,8 +44,6 @@ from .shared import (
     word_spans,
 )
 
-#: Rounds in which each bucket compares its sets with one centre.
-CENTRE_ROUNDS = 2
 #: Components in a bucket above which its token counts as frequent and is combined.
 FREQUENT = 32
 _WORDS = 16  # 64-bit words of a parity bitmap
@@ -169,23 +167,14 @@ class _Join:
         fitting = pairs.where(_may_link(F.col("n_a"), F.col("n_b"), rest, self.percent))
         return fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def placed(self, labels: DataFrame | None) -> DataFrame:
-        """Shared postings with the component that each set has so far."""
-        if labels is None:
-            return self.shared.withColumn("component", F.col("id"))
-        named = self.shared.join(labels, "id", "left")
-        return named.withColumn("component", F.coalesce("component", "id"))
-
-    def centre_pairs(self, placed: DataFrame, turn: int) -> DataFrame:
+    def centre_pairs(self, placed: DataFrame) -> DataFrame:
+        """Every set of a bucket with the bucket's centre, the one with the fewest rarer tokens."""
         step = float(np.log(100 / self.percent)) if self.percent < 100 else 1.0
-        # half a class of shift in every other round, so that sizes near a border meet too
-        sized = placed.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + turn / 2).cast("int"))
-        # few rarer tokens before this one: closest to what the bucket has in common
-        first = F.col("pos") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
-        pick = F.struct(first.alias("h"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("of"))
-        centres = sized.groupBy("token", "size").agg(F.min(pick).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        sized = placed.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+        pick = F.struct(F.col("pos").alias("pos_b"), F.col("id").alias("b"), F.col("n").alias("n_b"))
+        centres = sized.groupBy("token", "size").agg(F.min(pick).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
         centres = centres.where("lo < hi").select("token", "size", "c.*")
-        met = sized.join(centres, ["token", "size"]).where("component <> of")
+        met = sized.join(centres, ["token", "size"]).where("id <> b")
         return self.bounded(met.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "b", "n_b", "pos_b"))
 
     def remaining_pairs(self, placed: DataFrame) -> DataFrame:
@@ -211,14 +200,22 @@ class _Join:
 
     def labels(self) -> DataFrame:
         """(id, component) of every distinct set that links with another."""
-        edges, labels = None, None
-        for turn in range(CENTRE_ROUNDS + 1):
-            placed = self.placed(labels)
-            pairs = self.centre_pairs(placed, turn) if turn < CENTRE_ROUNDS else self.remaining_pairs(placed)
-            found = staged(self.linked(pairs))
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
-        return labels
+        linked = staged(self.linked(self.centre_pairs(self.shared.withColumn("component", F.col("id")))))
+        named = self.shared.join(_hubs(linked).toDF("id", "component"), "id", "left")
+        placed = named.withColumn("component", F.coalesce("component", "id"))
+        return components(linked.union(self.linked(self.remaining_pairs(placed))))
+
+
+def _hubs(links: DataFrame) -> DataFrame:
+    """(id, hub): for each set that links, the linked one (or itself) with the most links.
+
+    Sets with the same hub are connected, which is all that the next step needs to know.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy(F.col("b").alias("hub")).agg(F.count(F.lit(1)).alias("links"))
+    reach = both.union(degree.select("hub", "hub"))
+    ranked = reach.join(degree, reach["b"] == degree["hub"]).groupBy("a")
+    return ranked.agg(F.max(F.struct("links", (-F.col("hub")).alias("less")))["less"].alias("less")).select("a", (-F.col("less")).alias("hub"))
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
