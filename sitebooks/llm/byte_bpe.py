@@ -143,7 +143,7 @@ class RecursiveBpe:
             if long:
                 self._load("long_pieces", rows)
                 left = rows.num_rows + 1
-                while (now := self.base.execute("select count(*) from long_pieces").fetchone()[0]) < left:
+                while (now := self.base.execute("select count(*) from long_pieces").fetchall()[0][0]) < left:
                     left = now
                     self.base.execute(_LONG_STEP)
                     self.base.execute("create or replace table long_pieces as select * from longer")

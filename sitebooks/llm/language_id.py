@@ -58,8 +58,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for i in range(GRAM):
         value |= plain[i : i + n] << np.uint64(8 * i)
     # n-grams that run over a border belong to no text
-    ends = np.maximum(bounds[1:] - GRAM + 1, bounds[:-1])
-    return value, np.stack([bounds[:-1], ends], axis=1)
+    begins = np.minimum(bounds[:-1], n)
+    return value, np.stack([begins, np.maximum(bounds[1:] - GRAM + 1, begins)], axis=1)
 
 
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

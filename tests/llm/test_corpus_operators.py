@@ -409,11 +409,12 @@ def test_license_scan(spark, docs, none):
     assert licenses.license_report(none, licenses.notices(spark)).count() == 0
     empty = licenses.notices(spark).where("false")
     assert licenses.license_report(docs, empty).where("n_licenses > 0").count() == 0
-    near = licenses.NOTICES["mit-permission"].replace("associated", "related")
+    near = licenses.NOTICES["mit-permission"].replace("charge", "cost")
     changed = spark.createDataFrame([(1, f"some words before {near} and after")], "doc_id bigint, text string")
     assert licenses.license_report(changed, licenses.notices(spark)).first().licenses == ""
-    changed = spark.createDataFrame([(1, f"some words before {near[:-6]} end")], "doc_id bigint, text string")
-    assert licenses.license_report(changed, licenses.notices(spark)).count() == 1
+    near = licenses.NOTICES["mit-permission"].replace("associated", "related")
+    changed = spark.createDataFrame([(1, f"some words before {near} and after")], "doc_id bigint, text string")
+    assert licenses.license_report(changed, licenses.notices(spark)).first().licenses == "mit-permission"
 
 
 def test_license_scan_of_the_tables(spark):
