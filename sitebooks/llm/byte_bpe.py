@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import duckdb
@@ -30,35 +30,47 @@ from pyspark.sql import DataFrame
 from .shared import small_batches
 
 #: Pieces kept by a worker, pieces given to one recursive query, memory for it.
-KEPT, AT_ONCE, MEMORY = 300_000, 60_000, "400MB"
+KEPT, AT_ONCE, MEMORY = 1_000_000, 60_000, "400MB"
 #: Bytes from which a piece is contracted step by step on its own, without the rows of earlier steps.
 LONG_PIECE = 200
 
+#: A row also knows its right neighbour, so a step only meets the merge table, finds the best place of
+#: each piece, and changes the rows around that place.
 _STEP = """
-with recursive step(piece, pos, token, done) as (
-    select piece, pos, token, false from pieces
+with recursive step(piece, pos, token, right_pos, right_token, done) as (
+    select piece, pos, token, lead(pos) over w, lead(token) over w, false
+    from pieces window w as (partition by piece order by pos)
     union all
-    select piece, pos, case when contract then merged else token end, best is null
-    from (
-        select *, coalesce(place = best, false) as contract,
-               coalesce(lag(place) over (partition by piece order by pos) = best, false) as absorbed
-        from (
-            select *, min(place) over (partition by piece) as best
-            from (
-                select s.piece, s.pos, s.token, m.merged, m.merged::bigint * 4294967296 + s.pos as place
-                from (
-                    select *, lead(token) over (partition by piece order by pos) as neighbour
-                    from step where not done
-                ) s left join merges m on m.first = s.token and m.second = s.neighbour
-            )
+    select * from (
+        with pairs as materialized (
+            select s.*, m.merged, m.merged::bigint * 65536 + s.pos as place
+            from step s left join merges m on m.first = s.token and m.second = s.right_token
+            where not s.done
+        ), best as materialized (
+            select piece, min(place) as place from pairs group by piece
+        ), chosen as materialized (
+            select p.piece, p.pos, p.merged, p.right_pos from pairs p join best b on p.piece = b.piece and p.place = b.place
         )
+        select p.piece, p.pos,
+               case when p.pos = c.pos then c.merged else p.token end,
+               case when p.pos = c.pos then r.right_pos else p.right_pos end,
+               case when p.pos = c.pos then r.right_token when p.right_pos = c.pos then c.merged else p.right_token end,
+               c.piece is null
+        from pairs p
+        left join chosen c on p.piece = c.piece
+        left join pairs r on r.piece = c.piece and r.pos = c.right_pos
+        where c.piece is null or p.pos <> c.right_pos
     )
-    where not absorbed
 )
 """
 _ENCODE = _STEP + """
 select piece, list(token order by pos) as ids from step where done group by piece
 """
+#: Encoding and decoding at once: ordered aggregation of the ids and of their bytes.
+_BOTH = _STEP + """
+select piece, string_agg(token::varchar, ' ' order by pos) as ids, list(bytes order by pos) as parts
+from step join vocabulary using (token) where done group by piece
+"""
 #: One step for long pieces: all places of the lowest rank at once, from the left where they overlap.
 #: (No such merge makes a pair of a lower rank: its bytes would have been one token before.)
 _LONG_STEP = """
@@ -113,7 +125,8 @@ class RecursiveBpe:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.base.execute("set preserve_insertion_order = false")
         self._load("merges", merge_table(ranks))
@@ -170,26 +183,41 @@ class RecursiveBpe:
             out[number] = b"".join(parts)
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode and decode the distinct pieces that are not kept yet."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = list(pieces)
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            coded = self.encode_pieces([p.encode() for p in part])
-            for piece, ids, raw in zip(part, coded, self.decode_pieces(coded), strict=True):
-                self.known[piece] = len(ids), " ".join(map(str, ids)), raw
+    def learn(self, pieces: set[str]) -> None:
+        """Encode and decode the pieces that are not kept yet."""
+        new = pieces.difference(self.ids)
+        if len(self.ids) + len(new) > KEPT:
+            self.ids, self.raw = {}, {}
+            new = pieces
+        short, long = [], []
+        for piece in new:
+            (short if len(piece) < LONG_PIECE // 4 else long).append(piece)
+        for i in range(0, len(short), AT_ONCE):
+            part = short[i : i + AT_ONCE]
+            self._load("pieces", self._positions([p.encode() for p in part]))
+            found = self.base.sql(_BOTH).to_arrow_table().combine_chunks()
+            own = [part[number] for number in found.column("piece").to_pylist()]
+            self.ids.update(zip(own, found.column("ids").to_pylist(), strict=True))
+            # the bytes of a piece's tokens lie side by side
+            parts = found.column("parts").combine_chunks()
+            tokens = parts.values
+            _, ends, data = tokens.buffers()
+            ends = np.frombuffer(ends, np.int32)[tokens.offset :]
+            bounds = ends[parts.offsets.to_numpy()].tolist()
+            data = data.to_pybytes()
+            self.raw.update((p, data[x:y]) for p, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
+        coded = self.encode_pieces([p.encode() for p in long])
+        for piece, ids, raw in zip(long, coded, self.decode_pieces(coded) if coded else [], strict=True):
+            self.ids[piece], self.raw[piece] = " ".join(map(str, ids)), raw
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of tokens, ids joined by a space, decoded bytes) of each text."""
         cut = [self.pattern.findall(t) for t in texts]
-        self.learn({piece for pieces in cut for piece in pieces})
-        known = self.known
+        self.learn(set().union(*cut))
+        ids, raw = self.ids.__getitem__, self.raw.__getitem__
         for pieces in cut:
-            found = [known[p] for p in pieces]
-            yield sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found])
+            joined = " ".join(map(ids, pieces))
+            yield joined.count(" ") + bool(joined), joined, b"".join(map(raw, pieces))
 
 
 _workers: dict[bytes, RecursiveBpe] = {}
