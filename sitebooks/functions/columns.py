@@ -9,6 +9,7 @@ built-in Catalyst expression, so it stays inside whole-stage code generation.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -95,7 +96,12 @@ def drop_first_match(value: Column | str, pattern: str, replacement: str = "") -
 
 
 def clean_name(name: str, case: str = "snake") -> str:
-    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name.replace("%", "percent"))
+    """A plain ASCII name: accents dropped, signs spelled out, words split at capitals, no leading digit."""
+    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+    plain = plain.replace("%", " percent ").replace("#", " number ")
+    words = re.findall(r"[A-Z]+(?![a-z])\d*|[A-Z]?[a-z]+\d*|\d+", plain)
+    if words and words[0][0].isdigit():
+        words[0] = f"x{words[0]}"
     if case == "title":
         return " ".join(word.capitalize() for word in words)
     return "_".join(word.lower() for word in words)

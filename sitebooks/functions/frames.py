@@ -42,15 +42,6 @@ def joined(
     return result.drop(*aside.values())
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small.
-
-    Beyond ``most_rows`` the frame comes back as it is and Spark's shuffle join
-    (with skew splitting) takes over.  The count reads ``most_rows`` rows at most.
-    """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def append_total(
     df: DataFrame,
     label: str,

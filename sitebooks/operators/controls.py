@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import (
-    broadcast_if_small,
     if_known,
     joined,
     map_columns,
@@ -36,6 +35,7 @@ MATERIAL_SHARE = (
 # Fixed value: cost of one logged hour.
 HOUR_RATE = 21
 RATE = "decimal(4,2)"
+COMPLETION = "decimal(18,10)"
 
 
 def _in_open(df: DataFrame, open_projects: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def project_analysis(
     share = F.when(F.lit(False), F.lit(None).cast(RATE))
     for name, rate in MATERIAL_SHARE:
         share = share.when(F.col("subcontract_name").rlike(name), F.lit(rate).cast(RATE))
-    done = F.lit(completion).cast(RATE)
+    done = F.lit(completion).cast(COMPLETION)
     full = full.withColumns(
         {
             "completion": F.lit(float(completion)),
@@ -160,12 +160,11 @@ def project_analysis_summary(analysis: DataFrame, sale_prices: DataFrame | None
     )
 
 
-def change_orders(orders: DataFrame, open_projects: DataFrame) -> DataFrame:
-    """Change orders of open projects with a readable number."""
+def change_orders(orders: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Change orders, with a readable number, of the projects in an analysis (open ones with payments)."""
     number = F.concat(F.lit("CO000"), F.coalesce(F.col("change_order_number").cast("string"), F.lit("NA")))
     rows = orders.withColumn("co_num", number).drop("change_order_number")
-    # single orders, few projects: without a broadcast one hot project would be one partition
-    return joined(rows, broadcast_if_small(open_projects.select("project").distinct()), ["project"], "left_semi")
+    return joined(rows, analysis.select("project").distinct(), ["project"], "left_semi")
 
 
 def time_log_totals(time_logs: DataFrame, open_projects: DataFrame) -> DataFrame:
@@ -207,7 +206,7 @@ def project_control(
         F.trim,
     )
     logged = joined(rows, time_log_totals(time_logs, open_projects), ["project", "servicio"])
-    done = F.lit(completion).cast(RATE)
+    done = F.lit(completion).cast(COMPLETION)
     return logged.select(
         "project",
         "servicio",

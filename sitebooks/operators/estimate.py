@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import append_total, clean_names, joined, map_columns, matches, total_or_null
+from ..functions import append_total, clean_names, if_known, joined, map_columns, matches, total_or_null
 from .ledger import first_hit
 
 KEYS = ("difficulty", "surface", "material", "texture", "design", "thickness", "location", "type")
-QUANTITY = "decimal(18,2)"
+# wide enough that no measured fraction is cut before it is summed
+QUANTITY = "decimal(24,10)"
 
 # Rows that are no take-off lines, and the design framing assumes.
 NO_LINE = "not|tot"
@@ -370,7 +371,7 @@ def _flat(
     measure = F.col("sqft")
     if yards:
         measure = F.col("yards")
-        sums = sums.withColumn("yards", (F.col("sqft") / FEET_PER_YARD).cast("decimal(18,6)"))
+        sums = sums.withColumn("yards", F.col("sqft") / FEET_PER_YARD)
     listed = prices.where(F.col("price").isNotNull()).select("service", *on, "price")
     lines = joined(sums, listed, ["service", *on]).withColumn("total_price", F.col("price") * measure)
     rows = lines.distinct() if yards else lines
@@ -448,7 +449,7 @@ def stucco_budget(upload: DataFrame) -> DataFrame:
         yard_price = yard_price.when((F.col("material_surface") == surface) & (F.col("level") == level), price)
     yards = F.bround(F.col("square_feet") / FEET_PER_YARD, 0).cast("decimal(18,0)")
     budget = sums.select(
-        F.when(F.col("level") == "1", "First Level").otherwise("Second Level").alias("floor_level"),
+        if_known(F.col("level") == "1", F.lit("First Level"), F.lit("Second Level")).alias("floor_level"),
         "material_surface",
         "square_feet",
         yards.alias("yards"),

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    broadcast_if_small,
     first_day_of_month,
     joined,
     last_day_of_previous_month,
@@ -38,7 +37,7 @@ def month_labels(first: dt.date, last: dt.date) -> list[str]:
 
 def expense_rows(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     """Ledger rows on expense accounts, unknown amounts as zero."""
-    accounts = broadcast_if_small(expense_accounts(expense_report))
+    accounts = expense_accounts(expense_report)
     return joined(ledger.fillna(0, ["amount"]), accounts, ["account"], "left_semi")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    broadcast_if_small,
     joined,
     map_columns,
     matches,
@@ -131,7 +130,7 @@ def classified_sums(ledger: DataFrame, expense_report: DataFrame, **by: Column)
 
 def classified_ledger(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     """The classified ledger as rows; a row in two categories appears twice."""
-    accounts = broadcast_if_small(expense_accounts(expense_report))
+    accounts = expense_accounts(expense_report)
     rows = weighted_ledger(ledger, accounts)
     periods = {"year_month": year_month("date"), "year_quarter": quarter_label("date")}
     repeated = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))

@@ -163,7 +163,7 @@ def statement_lines(ledger: DataFrame, clues: Sequence[str]) -> DataFrame:
     return named.withColumns(
         {
             # the first character is the account number
-            "income": first_hit(F.substring("income", 2, 1_000_000), kinds),
+            "income": first_hit(F.expr("substring(income, 2)"), kinds),
             "service": F.trim(drop_first_match(F.lower("service"), "income")),
         }
     )

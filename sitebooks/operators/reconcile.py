@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import (
     append_total,
-    broadcast_if_small,
     drop_first_match,
     joined,
     map_columns,
@@ -93,7 +92,7 @@ def attach_subcontract(payments: DataFrame, subcontracts: DataFrame, projects: M
     tidy = map_columns(payments.withColumn("transaction_date", serial_day("transaction_date")), F.trim)
     named = tidy.withColumn("project", alias_equal(F.col("project"), projects))
     listed = map_columns(subcontracts.select("subcontract_id", "project", "service"), F.trim)
-    return joined(named, broadcast_if_small(listed), ["project", "service"])
+    return joined(named, listed, ["project", "service"])
 
 
 def missing_subcontract(payments: DataFrame, subcontracts: DataFrame, projects: Mapping[str, str]) -> DataFrame:

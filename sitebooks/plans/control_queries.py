@@ -249,11 +249,12 @@ def project_analysis_summary(t: Tables):
 
 @query(
     "change_orders",
-    f"""select project, 'CO000' || coalesce(cast(change_order_number as varchar), 'NA') as co_num, agreement_date
-    from change_orders where project {_OPEN}""",
+    """select project, 'CO000' || coalesce(cast(change_order_number as varchar), 'NA') as co_num, agreement_date
+    from change_orders where project in (select project from analysis)""",
 )
 def change_orders(t: Tables):
-    return C.change_orders(t.view("change_orders"), t.view("open_projects"))
+    analysis = C.project_analysis(t.view("payments_b"), t.view("contracts"), t.view("open_projects"))
+    return C.change_orders(t.view("change_orders"), analysis)
 
 
 STEPS["logged"] = f"""

@@ -253,15 +253,15 @@ from (select *, case when lower(service) = 'drywall_installation' then material
 
 @query(
     "flat_stucco",
-    """with g as (select distinct a.*, p.price, p.price * a.yards as total_price from (
+    """with g as (select distinct a.*, p.price, p.price::double * a.yards as total_price from (
         select project, location, service, difficulty, design, texture, thickness, sum(total_sf)::decimal(18,2) as sqft,
-          (sum(total_sf) / 9)::decimal(18,6) as yards from flat where service = 'stucco' group by 1, 2, 3, 4, 5, 6, 7) a
+          sum(total_sf)::double / 9 as yards from flat where service = 'stucco' group by 1, 2, 3, 4, 5, 6, 7) a
       left join prices p on p.service = a.service and p.difficulty is not distinct from a.difficulty
         and p.design is not distinct from a.design and p.texture is not distinct from a.texture
         and p.thickness is not distinct from a.thickness)
-    select project, location, service, difficulty, design, texture, thickness, sqft::double as sqft, yards::double as yards,
-      price::double as price, total_price::double as total_price from g union all select 'Total', '-', '-', '-', '-', '-', '-',
-      sum(sqft)::double, sum(yards)::double, null, coalesce(sum(total_price), 0)::double from g""",
+    select project, location, service, difficulty, design, texture, thickness, sqft::double as sqft, round(yards, 6) as yards,
+      price::double as price, round(total_price, 6) as total_price from g union all select 'Total', '-', '-', '-', '-', '-', '-',
+      sum(sqft)::double, round(sum(yards), 6), null, round(coalesce(sum(total_price), 0), 6) from g""",
 )
 def flat_stucco(t: Tables):
     return E.flat_stucco(E.flat_takeoff(t.view("takeoff")), _prices(t))

@@ -68,6 +68,14 @@ def test_clean_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["Total.SF", "Invoice Date", "invoiceDate"])
     assert S.clean_names(df).columns == ["total_sf", "invoice_date", "invoice_date_2"]
     assert S.clean_name("open_balance", "title") == "Open Balance"
+    assert [S.clean_name(x) for x in ("DESCRIPCIÓN", "Año", "Amount #", "iPhone7", "2020 average")] == [
+        "descripcion",
+        "ano",
+        "amount_number",
+        "i_phone7",
+        "x2020_average",
+    ]
+    assert S.clean_name("DESCRIPCIÓN", "title") == "Descripcion"
 
 
 def test_unknown_keys_match(spark, rows):
@@ -186,14 +194,6 @@ def test_previous_rows_with_very_many_copies(spark):
     assert got == expected and out.count() == len(values)
 
 
-def test_broadcast_only_below_the_limit(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-    assert hinted(S.broadcast_if_small(spark.range(10), 10))
-    assert not hinted(S.broadcast_if_small(spark.range(11), 10))
-
-
 def test_money_text(spark):
     assert one(spark, S.money("t"), t="12.345") == Decimal("12.35")
     assert one(spark, S.money("t"), t="-") is None

@@ -330,3 +330,16 @@ def test_forecast_covers_three_months(spark):
     assert len(future) == 89 and min(r["date"] for r in future) == D(2001, 2, 4)
     # the series repeats weekly, so the model follows it closely
     assert all(abs(r["predicted"] - (10 + (r["date"] - start).days % 7)) < 1 for r in future)
+
+
+def test_areas_are_summed_before_anything_is_rounded(spark):
+    rows = [("p", "stucco", 0.004)] * 1000 + [("q", "stucco", 1 / 3)] * 3
+    clean = spark.createDataFrame(rows, "project string, service string, total_sf double")
+    areas = {r.project: float(r.area) for r in estimate.service_area(clean).collect()}
+    assert areas["p"] == pytest.approx(4.0) and areas["q"] == pytest.approx(1.0)
+
+
+def test_change_orders_need_payments(spark):
+    orders = spark.createDataFrame([("a", 1), ("b", 2)], "project string, change_order_number int")
+    analysis = spark.createDataFrame([("a",), ("a",)], "project string")
+    assert [r.project for r in controls.change_orders(orders, analysis).collect()] == ["a"]
