@@ -57,7 +57,8 @@ def publish(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DecimalType):
-            out.append(F.col(f.name).cast("double").alias(f.name))
+            exact = F.round(f.name, 6) if f.dataType.scale > 6 else F.col(f.name)
+            out.append(exact.cast("double").alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(F.round(f.name, 6).alias(f.name))
         else:
