@@ -1,10 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from sitebooks.plans import checking_sql, spark_queries
 from tools.check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = spark_queries(), checking_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,10 @@ def test_only_model_queries_lack_sql():
     assert set(QUERIES) - set(SQL) == {"ts_glm", "ts_future"}
 
 
+def test_the_entry_registers_the_catalogue():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert "labor_gross_profit" in df.columns and df.count() > 0
