@@ -18,13 +18,15 @@ Ties go to the smaller vec_id.  Rows that repeat an id and a vector are one cand
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, VERIFIED = 256, 0.45, 0.06
-FIRST_WIDTH, WIDER = 0.3, 1.15
+FIRST_WIDTH, WIDER = 0.55, 1.1
 BLOCK_ROWS, CHUNK_ROWS = 4096, 1024
 
 
@@ -39,32 +41,41 @@ class CollisionIndex:
         self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
 
-    def search(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of everything verified for ``query``; ``own`` marks rows to leave out."""
+    def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, cosines) of everything verified; ``own`` has the rows to leave out for each query.
+
+        All queries of a step share the look-up of their windows in each sorted array.
+        """
         n, projections = len(self.vectors), len(self.order)
-        size = np.sqrt((query * query).sum())
-        centre = (query / size) @ self.directions
-        need = min(n, k + int(own.sum()) + int(np.ceil(VERIFIED * n)))
-        counts, low, high = np.zeros(n, np.int32), None, None
+        size = np.sqrt((queries * queries).sum(axis=1))
+        centres = ((queries / size[:, None]) @ self.directions).T
+        base = np.minimum(n, k + np.array([len(o) for o in own]) + int(np.ceil(VERIFIED * n)))
+        counts = np.zeros((len(queries), n), np.int16)
         width, least = FIRST_WIDTH, int(np.ceil(THRESHOLD * projections))
-        while True:
-            bounds = [np.searchsorted(row, (c - width, c + width)) for row, c in zip(self.sorted, centre, strict=True)]
-            lo, hi = (np.array([b[i] for b in bounds]) for i in (0, 1))
-            if low is None:
-                rings = [row[a:b] for row, a, b in zip(self.order, lo.tolist(), hi.tolist(), strict=True)]
-            else:
-                rings = [row[a:b] for row, a, b in zip(self.order, lo.tolist(), low.tolist(), strict=True)]
-                rings += [row[a:b] for row, a, b in zip(self.order, high.tolist(), hi.tolist(), strict=True)]
-            counts += np.bincount(np.concatenate(rings), minlength=n).astype(np.int32)
-            low, high = lo, hi
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= need:
-                break
+        active, before = np.arange(len(queries)), None
+        while len(active):
+            low = np.array([np.searchsorted(row, c - width) for row, c in zip(self.sorted, centres[:, active], strict=True)]).T
+            high = np.array([np.searchsorted(row, c + width) for row, c in zip(self.sorted, centres[:, active], strict=True)]).T
+            wider = []
+            for i, q in enumerate(active.tolist()):
+                lo, hi = low[i].tolist(), high[i].tolist()
+                if before is None:
+                    rings = [row[a:b] for row, a, b in zip(self.order, lo, hi, strict=True)]
+                else:
+                    inner, outer = before[0][i].tolist(), before[1][i].tolist()
+                    rings = [row[a:b] for row, a, b in zip(self.order, lo, inner, strict=True)]
+                    rings += [row[a:b] for row, a, b in zip(self.order, outer, hi, strict=True)]
+                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
+                found = np.flatnonzero(counts[q] >= least)
+                if len(found) < base[q]:
+                    wider.append(i)
+                    continue
+                found = np.setdiff1d(found, own[q], assume_unique=True)
+                # a sum per row, not a matrix product: equal vectors get equal scores
+                dots = (self.vectors[found] * queries[q]).sum(axis=1)
+                yield q, found, dots / (self.scale[found] * size[q])
+            active, before = active[wider], (low[wider], high[wider])
             width *= WIDER
-        found = found[~own[found]]
-        # a sum per row, not a matrix product: equal vectors get equal scores
-        dots = (self.vectors[found] * query).sum(axis=1)
-        return found, dots / (self.scale[found] * size)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -109,10 +120,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         if len(left) and len(right):
             ids, all_vectors = matrix(left)
             index = CollisionIndex(all_vectors)
-            for query_id, query in zip(*matrix(right), strict=True):
-                found, scores = index.search(query, k, ids == query_id)
+            asked_ids, asked_vectors = matrix(right)
+            own = [np.flatnonzero(ids == i) for i in asked_ids]
+            for query, found, scores in index.search(asked_vectors, k, own):
                 best = _best(ids[found], scores, k)
-                out[0] += [query_id] * len(best)
+                out[0] += [asked_ids[query]] * len(best)
                 out[1] += ids[found][best].tolist()
                 out[2] += scores[best].tolist()
         kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))
