@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, VERIFIED = 256, 0.45, 0.06
 FIRST_WIDTH, WIDER = 0.55, 1.1
-BLOCK_ROWS, CHUNK_ROWS = 4096, 1024
+BLOCK_ROWS, CHUNK_ROWS = 16384, 1024
 
 
 class CollisionIndex:
@@ -38,7 +38,7 @@ class CollisionIndex:
         self.scale = np.sqrt((vectors * vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         values = (vectors / self.scale[:, None]) @ self.directions
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int64).copy()
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
 
     def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
