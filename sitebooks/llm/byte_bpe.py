@@ -8,7 +8,8 @@ and leaves the recursion.  Ordered aggregation gives the token ids of a piece an
 vocabulary, its decoded bytes.  A text is the concatenation of its pieces.
 
 A worker keeps the pieces it has encoded, up to ``KEPT`` of them, since pieces repeat far more than
-texts do; that bounds its memory and changes no result.
+texts do; that bounds its memory and changes no result.  They are kept in two halves: when the newer
+one is full the older one goes, and pieces met again move to the newer one.
 
 Rules: as the library that reads the rank file, without special tokens.  A null text is the empty
 text: no ids, no bytes.  Text that cannot be UTF-8 cannot occur in a table.  Repeated rows repeat.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from .shared import small_batches
 
 #: Pieces kept by a worker, pieces given to one recursive query, memory for it.
-KEPT, AT_ONCE, MEMORY = 1_000_000, 60_000, "400MB"
+KEPT, AT_ONCE, MEMORY = 250_000, 20_000, "200MB"
 #: Bytes from which a piece is contracted step by step on its own, without the rows of earlier steps.
 LONG_PIECE = 200
 
@@ -127,6 +128,7 @@ class RecursiveBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.ids: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.base.execute("set preserve_insertion_order = false")
         self._load("merges", merge_table(ranks))
@@ -186,9 +188,14 @@ class RecursiveBpe:
     def learn(self, pieces: set[str]) -> None:
         """Encode and decode the pieces that are not kept yet."""
         new = pieces.difference(self.ids)
-        if len(self.ids) + len(new) > KEPT:
-            self.ids, self.raw = {}, {}
+        if len(self.ids) + len(new) > KEPT // 2:
+            self.older, self.ids, self.raw = (self.ids, self.raw), {}, {}
             new = pieces
+        ids, raw = self.older
+        again = [piece for piece in new if piece in ids]
+        for piece in again:
+            self.ids[piece], self.raw[piece] = ids[piece], raw[piece]
+        new = new.difference(again)
         short, long = [], []
         for piece in new:
             (short if len(piece) < LONG_PIECE // 4 else long).append(piece)
@@ -233,7 +240,7 @@ def worker_bpe(raw: bytes, pattern: str) -> RecursiveBpe:
 
 
 #: Characters of text handled at once.
-STEP_CHARACTERS = 4 << 20
+STEP_CHARACTERS = 1 << 20
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
