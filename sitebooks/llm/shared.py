@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy step works on; a longer text is worked on alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Rows in an Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS = 500
 #: Stands in for an unknown document id inside joins.
