@@ -91,13 +91,13 @@ def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 150, decay: float = 1e-5) -> np.ndarray:
     """Weights (the last is the constant) of a logistic regression with classes of equal weight."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w = np.zeros(x.shape[1], np.float32) if start is None else start.copy()
+    w = np.zeros(x.shape[1] + 1, np.float32) if start is None else start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)).astype(np.float32) / len(y) + decay * w
+        p = 1 / (1 + np.exp(-np.clip(_odds(x, w), -30, 30)))
+        off = (weight * (p - y)).astype(np.float32)
+        g = np.append(off @ x, off.sum()) / len(y) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
@@ -193,7 +193,9 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
         return None
     other = [r for r in found if r["quality"] is None]
     both = lambda rows: [matrix(rows, "text", np.float16), matrix(rows, "meta", np.float32)] if rows else [np.zeros((0, TEXT_SIZE), np.float32), np.zeros((0, 14 + 2 * NAME_SIZE), np.float32)]
-    return co_train(both(told), y, both(other))
+    known, unknown = both(told), both(other)
+    del found, told, other  # the rows themselves are as large as the views made of them
+    return co_train(known, y, unknown)
 
 
 def scored(docs: DataFrame, model: CoTrained | None) -> tuple[DataFrame, list[str]]:
