@@ -238,15 +238,14 @@ def cashflow_by_project(consolidated: DataFrame, skip_missing: bool = False) ->
 # -- cost breakdowns ---------------------------------------------------------------
 
 
-def project_costs(
+def _cost_rows(
     ledger: DataFrame,
-    interest: str | None = None,
-    names: Sequence[tuple[str, str]] = (),
-    first: dt.date | str | None = None,
-    last: dt.date | str | None = None,
-    skip_missing: bool = False,
+    interest: str | None,
+    names: Sequence[tuple[str, str]],
+    first: dt.date | str | None,
+    last: dt.date | str | None,
 ) -> DataFrame:
-    """Cost per project, class and concept: projects of interest, or all in a period."""
+    """Cost lines with their project's name and their concept."""
     rows = ledger.where(_is_cost())
     if interest is not None:
         rows = rows.where(matches("customer", interest))
@@ -255,9 +254,33 @@ def project_costs(
     project = nth_piece("customer", ":", 1)
     if names:
         project = alias_matching(project, names)
-    return rows.groupBy(
-        project.alias("project"), "class", cost_concept(F.col("account")).alias("concept")
-    ).agg(total("amount", skip_missing).alias("amount"))
+    return rows.withColumns({"project": project, "concept": cost_concept(F.col("account"))})
+
+
+def project_costs(
+    ledger: DataFrame,
+    interest: str | None = None,
+    names: Sequence[tuple[str, str]] = (),
+    first: dt.date | str | None = None,
+    last: dt.date | str | None = None,
+    skip_missing: bool = False,
+) -> DataFrame:
+    """Cost per project, class and concept: projects of interest, or all in a period."""
+    rows = _cost_rows(ledger, interest, names, first, last)
+    return rows.groupBy("project", "class", "concept").agg(total("amount", skip_missing).alias("amount"))
+
+
+def project_cost_lines(
+    ledger: DataFrame,
+    interest: str | None = None,
+    names: Sequence[tuple[str, str]] = (),
+    first: dt.date | str | None = None,
+    last: dt.date | str | None = None,
+) -> DataFrame:
+    """The lines behind ``project_costs``, by project."""
+    rows = _cost_rows(ledger, interest, names, first, last)
+    lines = rows.select("date", "project", "class", "concept", "amount")
+    return lines.orderBy(F.asc_nulls_last("project"))
 
 
 def phase_costs(expenses: DataFrame, cut: dt.date | str, classes: Mapping[str, str]) -> DataFrame:

@@ -166,6 +166,28 @@ def wages_by_date(payroll: DataFrame) -> DataFrame:
     return wages.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
 
 
+def wages_with_total(payroll: DataFrame) -> DataFrame:
+    """Wage payments in the order of their days, with a total."""
+    wages = payroll.where(matches("memo", WAGES)).orderBy(F.asc_nulls_last("date"))
+    return append_total(wages.select(F.col("date").cast("string").alias("date"), "amount"), "date")
+
+
+def wages_summary(payroll: DataFrame) -> DataFrame:
+    """Number, days and five-number summary of the wage payments of one vendor and period."""
+    amount = F.col("amount").cast("double")
+    return payroll.where(matches("memo", WAGES)).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("date").alias("first_day"),
+        F.max("date").alias("last_day"),
+        F.min(amount).alias("minimum"),
+        F.percentile(amount, F.lit(0.25)).alias("first_quartile"),
+        F.percentile(amount, F.lit(0.5)).alias("median"),
+        F.avg("amount").cast("double").alias("mean"),
+        F.percentile(amount, F.lit(0.75)).alias("third_quartile"),
+        F.max(amount).alias("maximum"),
+    )
+
+
 def payroll_file_by_date(payroll_file: DataFrame) -> DataFrame:
     sums = payroll_file.groupBy("date").agg(total_or_null("net_paid").alias("amount"))
     labelled = sums.select(F.col("date").cast("string").alias("date"), "amount")

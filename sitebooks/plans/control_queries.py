@@ -367,6 +367,29 @@ def payroll_concepts(t: Tables):
     return Q.payroll_concepts(_payroll(t))
 
 
+_WAGES = "from payroll where memo like '%WAGE PAY%'"
+
+
+@query(
+    "wages_with_total",
+    f"""select cast(date as varchar) as date, amount::double as amount {_WAGES}
+    union all select 'Total', sum(amount)::double {_WAGES}""",
+)
+def wages_with_total(t: Tables):
+    return Q.wages_with_total(_payroll(t))
+
+
+@query(
+    "wages_summary",
+    f"""select count(*) as n, min(date) as first_day, max(date) as last_day, min(amount)::double as minimum,
+      round(quantile_cont(amount::double, 0.25), 6) as first_quartile, round(quantile_cont(amount::double, 0.5), 6) as median,
+      round(avg(amount)::double, 6) as mean, round(quantile_cont(amount::double, 0.75), 6) as third_quartile,
+      max(amount)::double as maximum {_WAGES}""",
+)
+def wages_summary(t: Tables):
+    return Q.wages_summary(_payroll(t))
+
+
 @query(
     "payroll_file_by_date",
     """select cast(date as varchar) as date, sum(net_paid)::double as amount from payroll_file group by 1

@@ -226,6 +226,11 @@ def period_invoiced_total(t: Tables):
     return P.period_total(P.period_invoiced(t.ledger(*_FOR_PERIOD), *WINDOW))
 
 
+@query("period_expensed_rows", f"select date, type, account, amount::double as amount, customer {_EXPENSED}")
+def period_expensed_rows(t: Tables):
+    return P.expensed_rows(t.ledger(*_FOR_PERIOD), *WINDOW, own_company=OWN_COMPANY)
+
+
 @query("period_expensed", f"select customer, ({_SUM_ALL})::double as amount {_EXPENSED} group by customer")
 def period_expensed(t: Tables):
     return P.period_expensed(t.ledger(*_FOR_PERIOD), *WINDOW, own_company=OWN_COMPANY)

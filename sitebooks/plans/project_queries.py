@@ -243,6 +243,28 @@ def open_project_costs(t: Tables):
     return J.project_costs(rows, INTEREST, ALIASES, skip_missing=True)
 
 
+@query(
+    "open_project_cost_lines",
+    f"""select date, case when project like '%BUILD%' then 'Main Building' when project like '%MACH%' then 'Machine Hall'
+      else project end as project, class, {_CONCEPT} as concept, amount::double as amount
+    from (select *, {_piece('customer', ':', 2)} as project from ledger) l
+    where {_COST} and regexp_matches(customer, '{INTEREST}')""",
+)
+def open_project_cost_lines(t: Tables):
+    rows = t.ledger("date", "customer", "class", "account", "amount")
+    return J.project_cost_lines(rows, INTEREST, ALIASES)
+
+
+@query(
+    "project_cost_lines_since",
+    f"""select date, {_piece('customer', ':', 2)} as project, class, {_CONCEPT} as concept, amount::double as amount
+    from ledger where {_COST} and date between '2001-09-10' and '{AS_OF}'""",
+)
+def project_cost_lines_since(t: Tables):
+    rows = t.ledger("date", "customer", "class", "account", "amount")
+    return J.project_cost_lines(rows, first="2001-09-10", last=AS_OF)
+
+
 @query(
     "project_costs_since",
     f"""select {_piece('customer', ':', 2)} as project, class, {_CONCEPT} as concept, ({_ALL})::double as amount

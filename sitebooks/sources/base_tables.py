@@ -21,20 +21,6 @@ SCHEMAS = {
 }
 
 
-# the tables whose rows carry the work, and the column to spread them by
-_SPREAD = {"lineitem": "l_orderkey"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One base table.
-
-    A large table arrives in many splits and is read as it is.  A fact table that
-    arrives in fewer splits than there are cores (one file, one row group) would
-    keep all later row work in those few tasks, so it is spread first.
-    """
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
-    key = _SPREAD.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    if key is not None and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    """One base table, read in the splits it arrives in."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
