@@ -1,15 +1,17 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts a token's class from the two tokens before it.  Classes are the ``WORDS`` most
-frequent training words, the end of a text, and one class for all other words; a word of that last
-class has its smoothed share of the class.  With word vectors r, position matrices C1 and C2, output
-vectors q and biases b, the score of class w is (r1 C1 + r2 C2) q_w + b_w.
+The model predicts a token's class from the two tokens before it.  Frequent training words and the
+end of a text are classes by themselves; all other words are dealt to groups, each of them a class
+with vectors of its own, and a word has its smoothed share of its group.  Both numbers grow with the
+cube root of the distinct training words, so the tables of all contexts grow slower than the counts.
+Listed words are grouped by their count, all rarer ones and unknown words by their hash, which needs
+no look-up.  With word vectors r, position matrices C1 and C2, output vectors q and biases b, the
+score of class w is (r1 C1 + r2 C2) q_w + b_w.
 
 * Counting covers every training text: distinct word hashes per task, summed by a shuffle.
 * Training runs where the texts are.  In each round every task starts from the same parameters,
-  learns from every ``STRIDE``-th position of all its training texts (another offset each round)
-  against noise drawn from the class counts, and sends its parameters; the averages, weighted by
-  positions, start the next round.
+  learns from every position of all its training texts against noise drawn from the class counts,
+  and sends its parameters; the averages, weighted by positions, start the next round.
 * Scoring needs no sampling: since the score is a sum of one term per context word, the
   normalisers of all contexts are one matrix product, and a token's log-probability is the sum of
   its terms less the normaliser of its context.  All probabilities of a context add up to one.
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 from .language_id import in_fold
 from .shared import small_batches, span_hashes, staged, text_steps, word_spans
 
-WORDS, LISTED, SIZE = 1021, 1 << 19, 32
-STRIDE, ROUNDS, BATCH, NOISE, RATE = 16, 2, 1024, 256, 0.1
+#: Classes of single words at least; words and groups more for each unit of the cube root of all types.
+WORDS, GROWTH, LISTED, SIZE = 1021, 4, 1 << 19, 32
+ROUNDS, BATCH, NOISE, RATE = 2, 4096, 48, 0.02
 #: Parts that the parameters of all tasks are summed in before they meet.
 PARTS = 16
 
@@ -50,36 +53,41 @@ class Vocabulary:
     hashes: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
-    words: int  # classes that are words; then come end, others and, as context only, begin
+    words: int  # classes that are words; then come end, groups of listed words, groups by hash and, as context only, begin
+    by_count: int
+    by_hash: int
     tokens: int
     types: int
     ends: int
     class_counts: np.ndarray
+    class_types: np.ndarray
 
     @property
     def end(self) -> int:
         return self.words
 
-    @property
-    def other(self) -> int:
-        return self.words + 1
-
     @property
     def begin(self) -> int:
-        return self.words + 2
+        return self.words + 1 + self.by_count + self.by_hash
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Is each word listed, its count, its class."""
+        rest = self.words + 1 + self.by_count + hashes.view(np.int64) % self.by_hash
         if not len(self.hashes):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.full(len(hashes), self.other)
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), rest
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         listed = self.hashes[at] == hashes
-        return listed, np.where(listed, self.counts[at], 0), np.where(listed, self.classes[at], self.other)
+        return listed, np.where(listed, self.counts[at], 0), np.where(listed, self.classes[at], rest)
+
+    def log_shares(self) -> np.ndarray:
+        """log10 of the denominator of a word's share of its class, 0 where the class is one word.
 
-    def log_other(self) -> float:
-        """log10 of the denominator of a word's share among the other words."""
-        named = int(self.class_counts[: self.words].sum())
-        return float(np.log10(max(self.tokens - named - self.ends, 0) + max(self.types - self.words - (self.ends > 0), 0) + 1))
+        Each listed word has its count plus one; a group by hash keeps one more for unknown words.
+        """
+        sums = (self.class_counts + self.class_types).astype(np.float64)
+        sums[: self.words + 1] = 1
+        sums[self.words + 1 + self.by_count :] += 1
+        return np.log10(np.maximum(sums, 1))
 
     def log_base(self) -> float:
         return float(np.log10(self.tokens + self.types + 1))
@@ -113,8 +121,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, ends: int, words: int = WORDS, listed: int = LISTED) -> Vocabulary:
-    """The bounded part of the counts that every task gets."""
+    """The bounded part of the counts that every task gets, and the classes of all words."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    more = int(np.ceil(GROWTH * np.cbrt(totals[1])))
     # words per sixteenth of a doubling of their count: a bounded table that gives the bound for listing
     step = F.floor(F.log2(F.col("n").cast("double")) * 16)
     bins = counts.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
@@ -129,20 +138,40 @@ def vocabulary(counts: DataFrame, ends: int, words: int = WORDS, listed: int = L
     hashes = found.column("word").to_numpy().view(np.uint64)
     n = found.column("n").to_numpy()
     rank = np.lexsort((hashes, -n))
-    words = min(words, len(n))
-    classes = np.full(len(n), words + 1, np.int64)
+    words = min(words + more, len(n))
+    # the other listed words by falling count, about the same number of tokens to each group
+    behind = rank[words:]
+    mass = np.cumsum(n[behind])
+    by_count, by_hash = (more if len(behind) else 0), max(more, 1)
+    classes = np.zeros(len(n), np.int64)
     classes[rank[:words]] = np.arange(words)
-    class_counts = np.zeros(words + 2, np.int64)
-    class_counts[:words] = n[rank[:words]]
+    if len(behind):
+        classes[behind] = words + 1 + (mass - n[behind]) * by_count // int(mass[-1])
+    out = words + 1 + by_count + by_hash
+    class_counts = np.bincount(classes, weights=n, minlength=out).astype(np.int64)
+    class_types = np.bincount(classes, minlength=out)
     class_counts[words] = ends
-    class_counts[words + 1] = int(totals[0]) - int(class_counts[:words].sum())
+    # the rarer words by their hash
+    rare = counts.where(F.col("n") < least) if least is not None else counts
+    for row in rare.groupBy(F.pmod("word", F.lit(by_hash)).cast("int").alias("g")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        class_counts[words + 1 + by_count + row["g"]] = row["n"]
+        class_types[words + 1 + by_count + row["g"]] = row["types"]
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], n[order], classes[order], words, int(totals[0]) + ends, int(totals[1]) + (ends > 0), ends, class_counts)
+    tokens, types = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
+    return Vocabulary(hashes[order], n[order], classes[order], words, by_count, by_hash, tokens, types, ends, class_counts, class_types)
 
 
 # -- the model ----------------------------------------------------------------
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the row of ``out`` it belongs to; equal places are summed first."""
+    order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
+    places = at[order]
+    begins = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    out[places[begins]] += np.add.reduceat(rows[order], begins, axis=0)
+
+
 class LogBilinear:
     """Parameters, noise-contrastive steps, and the normalised tables."""
 
@@ -169,30 +198,34 @@ class LogBilinear:
 
     def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, seed: int, sums: dict[str, np.ndarray]) -> None:
         """One pass over samples (word before, word before that, class), in batches; ``sums`` keeps the step sizes."""
-        random, p = np.random.default_rng(seed), self.p
-        cumulated = np.cumsum(self.noise)
+        random, p = np.random.default_rng(seed), {name: v.astype(np.float32) for name, v in self.p.items()}
+        cumulated, level = np.cumsum(self.noise), np.log(NOISE * self.noise).astype(np.float32)
         for begin in range(0, len(target), BATCH):
             a, b, w = (x[begin : begin + BATCH] for x in (one, two, target))
             noise = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), len(self.noise) - 1)
-            ra, rb = p["context"][a], p["context"][b]
+            ra, rb, qw, qn = p["context"][a], p["context"][b], p["output"][w], p["output"][noise]
             predicted = ra @ p["first"] + rb @ p["second"]
-            own = (predicted * p["output"][w]).sum(axis=1) + p["bias"][w] - np.log(NOISE * self.noise[w])
-            others = predicted @ p["output"][noise].T + p["bias"][noise] - np.log(NOISE * self.noise[noise])
+            own = np.einsum("ij,ij->i", predicted, qw) + (p["bias"] - level)[w]
+            others = predicted @ qn.T + (p["bias"] - level)[noise]
             up = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # pull the data up
-            down = -1 / (1 + np.exp(-np.clip(others, -30, 30)))  # push the noise down
+            np.clip(others, -30, 30, out=others)
+            np.exp(np.negative(others, out=others), out=others)
+            others += 1
+            down = np.divide(-1, others, out=others)  # push the noise down
             grad = {name: np.zeros_like(v) for name, v in p.items()}
-            np.add.at(grad["output"], w, up[:, None] * predicted)
+            _add_rows(grad["output"], w, up[:, None] * predicted)
             np.add.at(grad["output"], noise, down.T @ predicted)
-            np.add.at(grad["bias"], w, up)
+            grad["bias"] += np.bincount(w, weights=up, minlength=len(level)).astype(np.float32)
             np.add.at(grad["bias"], noise, down.sum(axis=0))
-            back = up[:, None] * p["output"][w] + down @ p["output"][noise]
+            back = up[:, None] * qw + down @ qn
             grad["first"], grad["second"] = ra.T @ back, rb.T @ back
-            np.add.at(grad["context"], a, back @ p["first"].T)
-            np.add.at(grad["context"], b, back @ p["second"].T)
+            _add_rows(grad["context"], a, back @ p["first"].T)
+            _add_rows(grad["context"], b, back @ p["second"].T)
             for name, g in grad.items():
                 g /= len(w)
                 sums[name] = sums.get(name, 0) + g * g
-                p[name] += RATE * g / np.sqrt(sums[name] + 1e-8)
+                p[name] += np.float32(RATE) * g / np.sqrt(sums[name] + np.float32(1e-8))
+        self.p = {name: v.astype(np.float64) for name, v in p.items()}
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 terms of the word before and the word before that, and normalisers by both."""
@@ -234,7 +267,7 @@ def trained(texts: DataFrame, v: Vocabulary) -> LogBilinear:
             for batch in batches:
                 for _, _, data, offsets in text_steps(batch, "text"):
                     target, one, two, *_ = _sequences(data, offsets, v)
-                    pick = np.random.default_rng(seen + turn).permutation(np.arange((seen + turn * (STRIDE // ROUNDS)) % STRIDE, len(target), STRIDE))
+                    pick = np.random.default_rng(seen + turn).permutation(len(target))
                     own.train(one[pick], two[pick], target[pick], seen, sums)
                     seen += len(target)
             if seen:
@@ -271,7 +304,7 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, (first, second, norm) = shared.value
         key = TaskContext.get().partitionId() << 33
-        log_base, log_other = v.log_base(), v.log_other()
+        log_base, log_shares = v.log_base(), v.log_shares()
         for batch in batches:
             parts: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "score", "tail")}
             for _, _, data, offsets in text_steps(batch, "text"):
@@ -282,7 +315,7 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 log_count = np.log10(count + 1.0)  # 0 where the count is joined later
                 base[word_at] = log_count - log_base
                 known[word_at] = listed
-                model[word_at] += np.where(target[word_at] == v.other, log_count - log_other, 0)
+                model[word_at] += np.where(target[word_at] > v.end, log_count - log_shares[target[word_at]], 0)
                 parts["n_tokens"].append(np.diff(np.append(begins, len(target))))
                 for name, values in (("n_known", known.astype(np.int64)), ("base", base), ("score", model)):
                     parts[name].append(np.add.reduceat(values, begins))

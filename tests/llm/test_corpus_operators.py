@@ -352,6 +352,40 @@ def test_model_probabilities_add_up_to_one():
     assert np.allclose(chance.sum(axis=2), 1, atol=1e-4)
 
 
+def test_language_model_learns_from_every_position_of_every_round(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a{i} b{i % 7} c{i % 3}",) for i in range(400)], "text string")
+    v = language_model.vocabulary(language_model.word_counts(docs).persist(), 400, words=5, listed=40)
+    assert v.by_hash > 1 and v.class_counts.sum() == v.tokens == 1600 and v.class_types.sum() + 1 == v.types
+    shared = spark.sparkContext.accumulator(0)
+    train = language_model.LogBilinear.train
+
+    def counting(self, one, two, target, *rest):
+        shared.add(len(target))
+        train(self, one, two, target, *rest)
+
+    monkeypatch.setattr(language_model.LogBilinear, "train", counting)
+    from pyspark import cloudpickle as own
+
+    own.register_pickle_by_value(language_model)
+    try:
+        language_model.trained(docs, v)
+    finally:
+        own.unregister_pickle_by_value(language_model)
+    assert shared.value == language_model.ROUNDS * v.tokens
+
+
+def test_rarer_words_are_classes_that_grow_with_the_counts(spark):
+    few, many = (spark.range(1, n).selectExpr("id * 1000003 as word", "1 + 100000 div id as n") for n in (4_000, 40_000))
+    small, large = (language_model.vocabulary(c, 10) for c in (few, many))
+    assert len(large.class_counts) > len(small.class_counts) > language_model.WORDS + 10
+    assert np.count_nonzero(large.class_counts[large.words + 1 :]) > 100
+    shares = large.log_shares()
+    listed, counts, classes = large.look_up(large.hashes)
+    inside = np.bincount(classes, weights=(counts + 1) / 10 ** shares[classes], minlength=len(shares))
+    groups = slice(large.words + 1, large.words + 1 + large.by_count)
+    assert listed.all() and np.allclose(inside[groups], 1)
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
