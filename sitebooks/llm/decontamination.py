@@ -104,6 +104,11 @@ def contamination(
     A word is hit if it lies in an occurrence of a window; ``n_items`` counts items with occurring
     windows, ``items_sha256`` digests their sorted, comma-joined ids.
     """
+    return _contamination(documents, benchmark, width, shingle).drop("digest")
+
+
+def _contamination(documents: DataFrame, benchmark: DataFrame, width: int, shingle: int) -> DataFrame:
+    """The rows of ``contamination`` with the digest of each text."""
     docs = documents.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
     windows = checkpointed(item_windows(benchmark, width))
     distinct = windows.select("window").distinct()
@@ -135,6 +140,7 @@ def contamination(
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select(
         F.col("id").alias("doc_id"),
+        "digest",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
@@ -151,6 +157,9 @@ def _joined_hits(items: DataFrame, covered: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE) -> DataFrame:
     """The documents without a benchmark window, all columns kept."""
-    hit = contamination(documents.select("doc_id", "text"), benchmark, width, shingle).where("contaminated")
-    hit = hit.select(F.col("doc_id").alias("hit_id")).distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    hit = _contamination(documents.select("doc_id", "text"), benchmark, width, shingle).where("contaminated")
+    hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
+    # rows of one id can have several texts
+    digest = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    same = documents["doc_id"].eqNullSafe(hit["hit_id"]) & (digest == hit["hit_digest"])
+    return documents.join(hit, same, "left_anti")

@@ -14,8 +14,9 @@ Under one order of all tokens (rare first) they therefore meet within their firs
 5. candidates pass length, position and parity-bitmap bounds, then the sets are compared.
 
 Rules: white-space words with A-Z lowered; a text of fewer words than a shingle is one shingle;
-no words, no links.  A null id is one more document, larger than all others, and never names a
-component that has another id.  Repeated rows give repeated result rows.
+no words, no links.  Documents are told apart by their id; rows without an id, and rows of one id with
+different texts, by id and text (a 64-bit hash).  A null id is larger than all others and never names
+a component that has another id.  Repeated rows give repeated result rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 from .shared import (
     SKETCH_BITS,
     components,
-    document_id,
-    known_id,
+    fresh,
     merged_sketch,
     mixed,
     only_listed,
@@ -55,6 +55,22 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield from shingle_hashes(span_hashes(data, starts, ends), bounds, k)
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a column that is the same for rows of the same id and text only.
+
+    It is the id where that has one text, else a hash of both, so all texts of an id are documents.
+    """
+    own, content = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(own.alias("id"), content.alias("content")).where("id is not null")
+    several = texts.groupBy("id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi")
+    marked, several_id = fresh(docs, "marked"), fresh(docs, "several_id")
+    several = staged(several.select(F.col("id").alias(several_id), F.lit(True).alias(marked)))
+    both = docs.join(several, own == F.col(several_id), "left")
+    hashed = own.isNull() | F.col(marked).isNotNull()
+    mixed_key = F.xxhash64(F.coalesce(own, F.lit(-1)), own.isNull(), F.coalesce("text", F.lit("")))
+    return both.select(*docs.columns, F.when(hashed, mixed_key).otherwise(own).alias(key))
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -89,6 +105,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column(0),
+                    "doc_id": batch.column(1),
                     "n": pa.array(size, pa.int64()),
                     "one": pa.array(one, pa.int64()),
                     "two": pa.array(two, pa.int64()),
@@ -97,8 +114,8 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 }
             )
 
-    schema = "id bigint, n bigint, one bigint, two bigint, bits array<bigint>, prefix array<bigint>"
-    return docs.select("id", "text").mapInArrow(profile, schema)
+    schema = "id bigint, doc_id bigint, n bigint, one bigint, two bigint, bits array<bigint>, prefix array<bigint>"
+    return docs.select("id", "doc_id", "text").mapInArrow(profile, schema)
 
 
 def _may_link(n: Column, m: Column, shared: Column, percent: int) -> Column:
@@ -114,7 +131,8 @@ def _near(a: Column, b: Column) -> Column:
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.k, self.percent = k, percent
-        self.docs = docs.select(document_id().alias("id"), F.col("text"))
+        """``docs``: id (the key), doc_id, text."""
+        self.docs = docs
         self.rows = staged(_profiles(self.docs, k, percent))
         sets = self.rows.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
         self.member = staged(self.rows.select("id", "n", "one", "two").join(sets, ["n", "one", "two"]).select("id", "rep"))
@@ -138,7 +156,7 @@ class _Join:
         )
         near = staged(near.select("a", "b"))
         named = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        texts = only_listed(self.docs, "id", named).join(named, "id", "left_semi").dropDuplicates(["id"])
+        texts = only_listed(self.docs.select("id", "text"), "id", named).join(named, "id", "left_semi").dropDuplicates(["id"])
         texts = staged(texts)
         with_texts = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
@@ -223,16 +241,23 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
 
     ``docs`` needs doc_id and text.  ``percent`` is the least Jaccard similarity of linked sets.
     """
-    small_batches(docs.sparkSession)
-    join = _Join(docs, k, percent)
+    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "id")
+    return _labelled(keyed, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(keyed: DataFrame, k: int, percent: int) -> DataFrame:
+    """id (the key), doc_id, n_shingles, component_id of each row of ``keyed`` (id, doc_id, text)."""
+    small_batches(keyed.sparkSession)
+    join = _Join(keyed, k, percent)
     label = join.member.join(join.labels().toDF("rep", "component"), "rep", "left")
     label = label.select("id", F.coalesce("component", "rep").alias("component")).distinct()
-    out = join.rows.select("id", "n").join(label, "id", "left")
-    return out.select(
-        known_id(F.col("id")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        known_id(F.coalesce("component", "id")).alias("component_id"),
-    )
+    out = join.rows.select("id", "doc_id", "n").join(label, "id", "left")
+    out = staged(out.withColumn("component", F.coalesce("component", "id")))
+    # a component is known by its smallest key, which is no id where the key is a hash
+    names = out.groupBy("component").agg(F.min("doc_id").alias("name")).where("not (name <=> component)")
+    out = out.join(names.withColumn("renamed", F.lit(True)), "component", "left")
+    name = F.when(F.col("renamed").isNotNull(), F.col("name")).otherwise(F.col("component"))
+    return out.select("id", "doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -240,6 +265,8 @@ def keep_representatives(docs: DataFrame, k: int = 3, percent: int = 90) -> Data
 
     Rows that repeat an id stay together; rows without an id stay unless they link to one with.
     """
-    groups = ngram_components(docs, k, percent)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["id"]), "left_anti").select(*[docs[c] for c in docs.columns])
+    key, dropped_key = fresh(docs, "own_key"), fresh(docs, "dropped_key")
+    keyed = _keyed(docs, key)
+    groups = _labelled(keyed.select(F.col(key).alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), k, percent)
+    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(dropped_key)).distinct()
+    return keyed.join(dropped, F.col(key) == F.col(dropped_key), "left_anti").select(*docs.columns)

@@ -166,6 +166,26 @@ def test_ngram_join(spark, docs, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 3, 4, 5, 7, 8, 9, 10, 11]
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    """Rows without an id, and a repeated id: one text links, one is contaminated, the others stay."""
+    near = [f"n{i}" for i in range(60)]
+    other = [f"o{i}" for i in range(60)]
+    rows = [(1, " ".join(near)), (None, " ".join([*near, "more"])), (None, f"some {PASSAGE} text"), (None, "quite another text"), (None, "quite another text"), (None, None)]
+    rows += [(4, " ".join([*near, "words"])), (4, " ".join(other)), (6, " ".join([*other, "more"])), (7, "stands all alone here")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, id string, own_key int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect()), key=repr)
+    want = [(1, 58, 1), (None, 59, 1), (None, 12, None), (None, 1, None), (None, 1, None), (None, 0, None), (4, 59, 1), (4, 58, 4), (6, 59, 4), (7, 2, 7)]
+    assert got == sorted(want, key=repr)
+    kept = ngram_join.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    stay = [rows[0], *rows[2:6], rows[7], rows[9]]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(stay, key=repr)
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    clean = decontamination.clean_documents(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted((r for r in rows if r[1] is None or PASSAGE not in r[1]), key=repr)
+
+
 def test_ngram_join_of_chains_and_hubs(spark):
     """Near copies of one text, links that only chain, and one passage in many unlike texts."""
     rng = np.random.default_rng(5)
