@@ -7,7 +7,8 @@ The state of all documents inserted so far is three tables in a shared folder:
 * ``filters``  (shard, filter): one cuckoo filter of the keys of each shard.
 
 An insertion asks the shard's filter first.  Keys that it does not know are new and are appended;
-only the others meet the exact table.  A deletion subtracts the document's holders, finds the next
+only the others meet the exact table; those that it lacks after all are put into the filter too, so
+each counted key has a fingerprint of its own.  A deletion subtracts the document's holders, finds the next
 smallest holder for keys that lost theirs, and takes keys without holders out of the filter, which
 a cuckoo filter can do.  Inserting and deleting the same documents restores the earlier counts.
 Each step writes a new version of the state, so a failed step leaves the old one.
@@ -216,7 +217,7 @@ class LineDedup:
             own = CuckooFilter.from_bytes(known[0]) if known else CuckooFilter(max(len(left), 1024))
             hashes = _hashes(left.column("key")) if len(left) else np.zeros(0, np.uint64)
             seen = own.contains(hashes)
-            own.add(np.unique(hashes[~seen]))
+            own.add(hashes[~seen])
             kept = left.select(["shard", "key", "refs", "first_id"]).append_column("known", pa.array(seen))
             state = pa.table(
                 {"shard": [number.as_py()], "key": pa.array([None], pa.binary()), "refs": pa.array([None], pa.int64()), "first_id": pa.array([None], pa.int64()), "known": pa.array([None], pa.bool_()), "filter": pa.array([own.to_bytes()], pa.binary())}
@@ -237,15 +238,31 @@ class LineDedup:
             )
             # the filter may take a new key for a known one: those are new all the same
             wrong = rows.where("known").join(counts.select("key"), "key", "left_anti").select(*fields)
+            wrong.write.parquet(f"{target}/wrong")
+            wrong = self.spark.read.schema(self._TABLES["counts"]).parquet(f"{target}/wrong")
             merged = met.unionByName(wrong).unionByName(rows.where("not known").select(*fields))
+            filters = self._remembering(wrong, passed)
         else:
             merged = rows.select(*fields)
+            filters = passed.where("filter is not null").select("shard", "filter")
         self._save(
             holders=self._table("holders").unionByName(new),
             counts=merged,
-            filters=passed.where("filter is not null").select("shard", "filter"),
+            filters=filters,
         )
 
+    def _remembering(self, wrong: DataFrame, passed: DataFrame) -> DataFrame:
+        """The filters with a fingerprint for each new key that they took for a known one."""
+
+        def add(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            own = CuckooFilter.from_bytes(right.column("filter")[0].as_py())
+            if len(left):
+                own.add(_hashes(left.column("key")))
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([own.to_bytes()], pa.binary())})
+
+        filters = passed.where("filter is not null").select("shard", "filter")
+        return wrong.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(add, self._TABLES["filters"])
+
     def delete(self, ids: DataFrame) -> None:
         """Take documents out again; ``ids`` has one column of ids, null for the one without."""
         gone = ids.select(F.coalesce(F.col(ids.columns[0]).cast("bigint"), F.lit(2**63 - 1)).alias("doc_id")).distinct()

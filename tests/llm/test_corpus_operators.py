@@ -528,6 +528,25 @@ def test_line_dedup_is_reversible(spark):
     assert by_id(state.apply(rest.select("doc_id", "text")), "n_lines", "n_dropped", "text") == kept_lines(texts)
 
 
+def test_new_lines_that_the_filter_takes_for_known_ones_can_be_deleted(spark):
+    """Two lines whose keys share fingerprint and buckets, through insert, insert, delete, insert."""
+    first, second = "this is line number 110", "this is line number 4879"
+    one, two = (line_dedup.mixed(np.frombuffer(hashlib.md5(x.encode()).digest()[:8], np.uint64)) for x in (first, second))
+    alike = line_dedup.CuckooFilter()
+    alike.add(one)
+    assert alike.contains(two).all() and one != two
+    rows = spark.createDataFrame([(1, first), (2, second), (3, first)], "doc_id bigint, text string")
+    state = line_dedup.LineDedup(spark, shards=1)
+    state.insert(rows.where("doc_id = 1"))
+    state.insert(rows.where("doc_id = 2"))
+    state.delete(rows.where("doc_id = 2").select("doc_id"))
+    assert state.maybe_held(rows.where("doc_id = 1").select(F.col("text").alias("line"))).count() == 1
+    state.insert(rows.where("doc_id = 3"))
+    counts = [(r.refs, r.first_id) for r in state._table("counts").collect()]
+    assert counts == [(2, 1)]
+    assert [r.doc_id for r in state.decisions().collect()] == [3]
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(4)
     members = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
