@@ -20,6 +20,7 @@ templates without words are left out, a null id stays null.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,20 @@ from .shared import checkpointed
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 32
 
-# fixed values: the wording of public notices
-NOTICES = {
+# fixed values: whole notices and license texts, and the wording of short references to them
+_TEXTS = {path.stem: path.read_text("utf-8") for path in sorted((Path(__file__).parent / "notices").glob("*.txt"))}
+NOTICES = _TEXTS | {
     "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "lgpl-library": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "lgpl-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
     "mit": "Released under the MIT License.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -64,7 +70,9 @@ def _templates(df: DataFrame, k: int) -> DataFrame:
     rows = rows.where(F.size("notice") > 0).dropDuplicates(["license", "notice"])
     rows = rows.select("license", "notice", _shingles(F.col("notice"), k).alias("shingles"))
     step = F.greatest(F.floor(F.size("notice") / 4), F.lit(1)).cast("int")
-    return rows.select("*", step.alias("step"), (F.size("notice") + step - 1).alias("span"), _signature(F.col("shingles")).alias("bands"))
+    rows = rows.select("*", step.alias("step"), (F.size("notice") + step - 1).alias("span"), _signature(F.col("shingles")).alias("bands"))
+    # from here on a notice is known by its digest, as a long one would travel with each window
+    return rows.withColumn("notice", F.sha2(F.array_join("notice", " "), 256))
 
 
 def license_hits(documents: DataFrame, templates: DataFrame, k: int = SHINGLE, least: float = CONTAINMENT) -> DataFrame:
@@ -97,7 +105,7 @@ def license_hits(documents: DataFrame, templates: DataFrame, k: int = SHINGLE, l
         met = met.select("doc_id", "digest", "license", "notice", "start", F.slice("words", F.col("start") + 1, F.col("span")).alias("window"))
         windows = met if windows is None else windows.unionByName(met)
     if windows is None:
-        windows = docs.where("false").select("doc_id", "digest", F.lit("").alias("license"), F.col("words").alias("notice"), F.lit(0).alias("start"), F.col("words").alias("window"))
+        windows = docs.where("false").select("doc_id", "digest", F.lit("").alias("license"), F.lit("").alias("notice"), F.lit(0).alias("start"), F.col("words").alias("window"))
     windows = windows.distinct().withColumn("found", _shingles(F.col("window"), k))
     compared = windows.join(sized_broadcast(kinds.select("license", "notice", "shingles", "bands")), ["license", "notice"])
     agrees = F.exists(F.zip_with(_signature(F.col("found")), F.col("bands"), lambda x, y: x == y), lambda same: same)

@@ -472,6 +472,19 @@ def test_license_scan(spark, docs, none):
     assert licenses.license_report(changed, licenses.notices(spark)).first().licenses == "mit-permission"
 
 
+def test_whole_notices_with_edits_are_found(spark):
+    whole = {n: t for n, t in licenses.NOTICES.items() if n.endswith("-text")}
+    assert {"mit-text", "bsd-3-clause-text", "isc-text", "gpl-3.0-text", "lgpl-3.0-text", "mpl-2.0-text", "cc0-1.0-text", "unlicense-text", "apache-2.0-text"} <= set(whole)
+    rows = [
+        (1, "x y " + whole["mit-text"].replace("charge", "cost") + " z", "mit-text"),
+        (2, "x y " + whole["bsd-3-clause-text"].replace("modification", "change") + " z", "bsd-3-clause-text"),
+        (3, "x y " + whole["isc-text"].replace("distribute", "share") + " z", "isc-text"),
+        (4, whole["gpl-3.0-text"].replace("Definitions", "Terms"), "gpl-3.0-text"),
+    ]
+    got = by_id(licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string, want string"), licenses.notices(spark)), "licenses")
+    assert all(want in got[i][0].split(",") for i, _, want in rows), got
+
+
 def test_license_scan_of_the_tables(spark):
     got = by_id(queries.license_scan(spark, FOLDER), *REPORT)
     assert got == {i: expected_report(t, licenses.NOTICES) for i, t in real_texts(spark).items()}
