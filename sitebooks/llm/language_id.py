@@ -9,8 +9,10 @@ filter that is filled to a share f answers f**HASHES of all strangers, so h hits
 
 Training counts, over all texts to learn from, every distinct n-gram per language: per task first,
 then summed by a shuffle.  A language takes an n-gram whose share of that language's n-grams is at
-least ``TYPICAL`` times its share in the language that uses it most, and that is no accident
-(``LEAST`` occurrences).  All counts cover all rows; the filters have a fixed size.
+least ``TYPICAL`` times its share in the language that uses it most.  Shares are smoothed as if each
+language had ``PRIOR`` n-grams more, dealt as in all languages together, so the rule is the same for
+tables and languages of any size.  All counts cover all rows; the filters are sized by the largest
+number of n-grams that a language takes, and languages beyond 64 get further masks.
 
 N-grams are ``GRAM`` bytes of the text with A-Z lowered and runs of other ASCII characters than
 letters as one space.  Rules: null texts and texts without a letter are ``und`` with score 0; a text
@@ -30,11 +32,11 @@ from pyspark.sql import types as T
 
 from .shared import mixed, small_batches, text_steps
 
-GRAM, TYPICAL, LEAST = 4, 0.5, 20
-#: Positions of a filter (a power of two) and hashes per n-gram.
-POSITIONS, HASHES = 1 << 20, 3
-#: Languages fit into one 64-bit mask.
-MOST_LANGUAGES = 64
+GRAM, TYPICAL, PRIOR = 4, 0.5, 1000
+#: Least positions of a filter (a power of two), positions for each n-gram at least, and hashes per n-gram.
+POSITIONS, ROOM, HASHES = 1 << 20, 5, 3
+#: Languages in one mask.
+BITS = 64
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -100,37 +102,37 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _places(values: np.ndarray) -> list[np.ndarray]:
+def _places(values: np.ndarray, positions: int = POSITIONS) -> list[np.ndarray]:
     """The positions that each n-gram hashes to."""
     h = mixed(values + np.uint64(0x51))
     one, two = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((one + np.uint64(i) * two) & np.uint64(POSITIONS - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((one + np.uint64(i) * two) & np.uint64(positions - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 class SlicedFilters:
-    """Masks by position, the languages of the bits, and how far each filter is filled."""
+    """Masks by position (one row of them for each 64 languages), the languages of the bits, and how far each filter is filled."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
-        self.languages, self.masks = languages, masks
-        bits = np.arange(len(languages), dtype=np.uint64)
-        fill = np.array([np.count_nonzero(masks >> b & np.uint64(1)) for b in bits]) / len(masks)
-        self.wrong = fill**HASHES
-
-    def holders(self, values: np.ndarray) -> np.ndarray:
-        """A mask per n-gram with the bits of all languages that may contain it."""
-        first, *rest = (self.masks[p] for p in _places(values))
+        self.languages, self.masks = languages, np.atleast_2d(masks)
+        fill = [np.count_nonzero(self.masks[i // BITS] >> np.uint64(i % BITS) & np.uint64(1)) for i in range(len(languages))]
+        self.wrong = (np.array(fill, float) / self.masks.shape[1]) ** HASHES
+
+    def holders(self, values: np.ndarray, row: int = 0) -> np.ndarray:
+        """A mask per n-gram with the bits of all languages of a row that may contain it."""
+        first, *rest = (self.masks[row][p] for p in _places(values, self.masks.shape[1]))
         for more in rest:
             first = first & more
         return first
 
     def hits(self, values: np.ndarray, spans: np.ndarray) -> np.ndarray:
         """Corrected popcounts, one row per text and one column per language."""
-        held = self.holders(values)
         count = (spans[:, 1] - spans[:, 0])[:, None]
         out = np.zeros((len(spans), len(self.languages)))
-        for bit in range(len(self.languages)):
-            upto = np.concatenate([[0], np.cumsum(held >> np.uint64(bit) & np.uint64(1), dtype=np.int64)])
-            out[:, bit] = upto[spans[:, 1]] - upto[spans[:, 0]]
+        for i in range(len(self.languages)):
+            if i % BITS == 0:
+                held = self.holders(values, i // BITS)
+            upto = np.concatenate([[0], np.cumsum(held >> np.uint64(i % BITS) & np.uint64(1), dtype=np.int64)])
+            out[:, i] = upto[spans[:, 1]] - upto[spans[:, 0]]
         return np.maximum((out - count * self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0)
 
 
@@ -140,31 +142,38 @@ def learned_filters(docs: DataFrame) -> SlicedFilters:
     counts = counts.persist()
     try:
         totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-        ranked = totals.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES + 1).collect()
-        if len(ranked) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages do not fit into one mask")
-        languages = [r["lang"] for r in ranked]
+        ranked = totals.orderBy(F.desc("total"), "lang").collect()  # as many rows as languages
+        languages, everything = [r["lang"] for r in ranked], sum(r["total"] for r in ranked)
+        rows = max(-(-len(languages) // BITS), 1)
         bit = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1 if languages else F.lit(0)
-        share = counts.join(F.broadcast(totals), "lang").select("gram", bit.cast("int").alias("bit"), "n", (F.col("n") / F.col("total")).alias("share"))
-        grams = share.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("bit", "n", "share")).alias("all"))
-        kept = F.filter("all", lambda x: (x["n"] >= LEAST) & (x["share"] >= TYPICAL * F.col("most")))
-        mask = F.aggregate(kept, F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["bit"])))
-        chosen = grams.select("gram", mask.alias("mask")).where("mask <> 0")
+        known = counts.join(F.broadcast(totals), "lang").select("gram", bit.cast("int").alias("bit"), "n", "total")
+        grams = known.groupBy("gram").agg(F.sum("n").alias("sum"), F.collect_list(F.struct("bit", "n", "total")).alias("all"))
+        share = lambda x: (x["n"] + PRIOR * F.col("sum") / max(everything, 1)) / (x["total"] + PRIOR)
+        shared = F.transform("all", lambda x: F.struct(x["bit"].alias("bit"), share(x).alias("share")))
+        grams = grams.select("gram", shared.alias("all")).withColumn("most", F.array_max(F.transform("all", lambda x: x["share"])))
+        chosen = grams.select("gram", F.filter("all", lambda x: x["share"] >= TYPICAL * F.col("most"))["bit"].alias("bits")).persist()
+        most = chosen.select(F.explode("bits").alias("bit")).groupBy("bit").count().agg(F.max("count")).first()[0] or 0
+        positions = max(POSITIONS, 1 << (ROOM * most - 1).bit_length()) if most else POSITIONS
 
         def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            masks = np.zeros(POSITIONS, np.uint64)
+            masks = np.zeros((rows, positions), np.uint64)
             for batch in batches:
                 values = batch.column(0).to_numpy().view(np.uint64)
-                own = batch.column(1).to_numpy().view(np.uint64)
-                for places in _places(values):
-                    np.bitwise_or.at(masks, places, own)
-            at = np.flatnonzero(masks)
-            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "mask": pa.array(masks[at].view(np.int64))})
-
-        merged = chosen.mapInArrow(slices, "at bigint, mask bigint").groupBy("at").agg(F.expr("bit_or(mask)").alias("mask"))
-        masks = np.zeros(POSITIONS, np.uint64)
-        found = merged.toArrow()  # at most POSITIONS rows
-        masks[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+                held = batch.column(1)
+                owner, bits = np.repeat(values, np.diff(held.offsets.to_numpy())), held.flatten().to_numpy()
+                for row in range(rows):
+                    own = bits // BITS == row
+                    for places in _places(owner[own], positions):
+                        np.bitwise_or.at(masks[row], places, np.uint64(1) << (bits[own] % BITS).astype(np.uint64))
+            for row in range(rows):
+                at = np.flatnonzero(masks[row])
+                yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(at), row, np.int32)), "at": pa.array(at), "mask": pa.array(masks[row][at].view(np.int64))})
+
+        merged = chosen.mapInArrow(slices, "row int, at bigint, mask bigint").groupBy("row", "at").agg(F.expr("bit_or(mask)").alias("mask"))
+        masks = np.zeros((rows, positions), np.uint64)
+        found = merged.toArrow()  # at most one row for each position of each mask
+        masks[found.column("row").to_numpy(), found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+        chosen.unpersist()
     finally:
         counts.unpersist()
     return SlicedFilters(languages, masks)
@@ -173,7 +182,7 @@ def learned_filters(docs: DataFrame) -> SlicedFilters:
 def predicted(docs: DataFrame, filters: SlicedFilters) -> DataFrame:
     """``docs`` (any columns, text among them) with lang_pred and score behind them."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))  # fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))
     names = docs.columns
     text = names.index("text")
 

@@ -423,6 +423,19 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in blank.collect()} == {"und"}
 
 
+def test_many_languages_and_languages_with_few_texts(spark):
+    """70 languages, one short text each but one with many: each is found again."""
+    rng = np.random.default_rng(7)
+    words_of = [["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(w), f"l{i:02}") for i, w in enumerate(words_of)]
+    rows += [(100 + i, " ".join(rng.permutation(words_of[0])), "l00") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = language_id.learned_filters(df.select("lang", "text"))
+    assert len(filters.languages) == 70 and filters.masks.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in language_id.predicted(df, filters).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_sliced_filters_hold_every_member():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 2**32, 5000).astype(np.uint64)
