@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,17 +19,31 @@ from .licenses import license_report, notices
 from .line_dedup import deduplicated_lines
 from .nearest import nearest
 from .ngram_join import ngram_components
+from .periodic import periodic_runs, run_report
 from .quality import quality_scores
 from .shared import shared_folder
+from .spelling import LEAST_COUNT, corpus_words, spelling_forms
+from .sql import url_sql
 from .token_counts import token_counts
+from .url_filter import Rule, page_outcomes, url_verdicts
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string",
 }
 
+# fixed values: the url rules of the contract
+URL_RULES = (
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+)
+
 
 def workers_find_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, unless it is installed there."""
@@ -86,6 +101,33 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels are the outcomes of the pages with their ids: the tables hold no others."""
+    return url_verdicts(table(spark, folder, "pages"), page_outcomes(table(spark, folder, "labels")), URL_RULES)
+
+
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = corpus_words(table(spark, folder, "documents")).where(F.col("n") >= LEAST_COUNT)
+    return spelling_forms(words)
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's rewriting: in one document of ten a block repeats from some word on; not for an unknown id."""
+    n = len(words)
+    crc = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or n == 0 or crc % 10:
+        return words
+    g = crc // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    block = words[start : start + period]
+    return words[:start] + (block * -(-(n - start) // period))[: n - start]
+
+
+def periodic(spark: SparkSession, folder: str) -> DataFrame:
+    return run_report(periodic_runs(table(spark, folder, "documents"), rewrite=repeated_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_ngram_jaccard": ngram_jaccard,
@@ -97,5 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id,
     "op9_license_scan": license_scan,
     "op10_line_dedup": line_dedup,
+    "op11_url_filter": url_filter,
+    "op12_spelling": spelling_variants,
+    "op13_periodic": periodic,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_url_filter": url_sql(URL_RULES)}
