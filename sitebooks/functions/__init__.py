@@ -21,29 +21,36 @@ from .columns import (
     tidy_text,
     year_month,
 )
-from .frames import append_total, joined, repeated_text, sorted_text
+from .frames import append_total, append_total_to_rows, joined, repeated_text, sorted_text
+from .intervals import in_windows
 from .ordering import OrderedRows
-from .matching import containing_values, with_clues
+from .quantiles import quantiles
+from .matching import containing_values, matching_values, required_literals, with_clues
 
 __all__ = [
     "OrderedRows",
     "append_total",
+    "append_total_to_rows",
     "clean_name",
     "clean_names",
     "containing_values",
     "drop_first_match",
     "first_day_of_month",
     "if_known",
+    "in_windows",
     "joined",
     "last_day_of_previous_month",
     "map_columns",
     "matches",
+    "matching_values",
     "money",
     "month_label",
     "nth_piece",
     "parse_day",
+    "quantiles",
     "quarter_label",
     "repeated_text",
+    "required_literals",
     "separate",
     "serial_day",
     "sorted_text",

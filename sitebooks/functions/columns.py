@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(18,2)"
+#: Amounts as they are read: six decimals, far below a cent, and 22 digits before the point.
+MONEY = "decimal(28,6)"
 
 
 def _col(value: Column | str) -> Column:
@@ -24,8 +25,15 @@ def _col(value: Column | str) -> Column:
 
 
 def money(value: Column | str) -> Column:
-    """Exact two-decimal money; unreadable text becomes null."""
-    return _col(value).try_cast(MONEY)
+    """Exact money; text that is no number becomes null, a number beyond the type is an error.
+
+    What stands behind the sixth decimal is rounded half up.
+    """
+    text = _col(value)
+    exact, number = text.try_cast(MONEY), text.try_cast("double")
+    is_number = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+    too_large = F.raise_error(F.concat(F.lit("amount out of range: "), text.cast("string"))).cast(MONEY)
+    return F.when(exact.isNotNull(), exact).when(is_number, too_large)
 
 
 # -- null rules ---------------------------------------------------------------

@@ -42,27 +42,11 @@ def joined(
     return result.drop(*aside.values())
 
 
-def append_total(
-    df: DataFrame,
-    label: str,
-    by: Sequence[str] = (),
-    filler: str = "-",
-) -> DataFrame:
-    """Append one total row (one per ``by`` group).
-
-    ``label`` holds "Total", other texts hold ``filler``, numbers are summed with
-    nulls skipped, anything else is null; at least one number is expected.  Both branches share the shuffle of the
-    aggregation that made ``df``: Spark reuses the exchange, so the source is read
-    once.
-    """
-    numeric = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in by]
-    sums = [F.coalesce(F.sum(f.name), F.lit(0)).alias(f.name) for f in numeric]
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    totals = grouped.agg(*sums)
-    summed = {f.name for f in numeric}
+def _total_row(df: DataFrame, label: str, by: Sequence[str], filler: str) -> list[Column]:
+    """What a total row shows in each column; sums are expected under the columns' own names."""
     row = []
     for f in df.schema.fields:
-        if f.name in by or f.name in summed:
+        if f.name in by or isinstance(f.dataType, T.NumericType):
             row.append(F.col(f.name))
         elif f.name == label:
             row.append(F.lit("Total").alias(f.name))
@@ -70,7 +54,64 @@ def append_total(
             row.append(F.lit(filler).alias(f.name))
         else:
             row.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.unionByName(totals.select(*row))
+    return row
+
+
+def _numeric(df: DataFrame, by: Sequence[str]) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in by]
+
+
+def append_total(
+    df: DataFrame,
+    label: str,
+    by: Sequence[str] = (),
+    filler: str = "-",
+) -> DataFrame:
+    """Append one total row (one per ``by`` group) to sums.
+
+    ``label`` holds "Total", other texts hold ``filler``, numbers are summed with
+    nulls skipped, anything else is null; at least one number is expected.  For frames that end in an
+    aggregation: both branches share its shuffle, Spark reuses the exchange, so the source is read
+    once.  Rows that are not aggregated go through :func:`append_total_to_rows`.
+    """
+    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _numeric(df, by)]
+    totals = (df.groupBy(*by) if by else df.groupBy()).agg(*sums)
+    return df.unionByName(totals.select(*_total_row(df, label, by, filler)))
+
+
+def append_total_to_rows(
+    df: DataFrame,
+    label: str,
+    by: Sequence[str] = (),
+    filler: str = "-",
+) -> DataFrame:
+    """Append one total row (one per ``by`` group) to plain rows, in one pass over them.
+
+    The result is that of :func:`append_total`.  Rows and totals are two grouping sets of one aggregation:
+    equal rows of a task are counted and repeated behind it (a task's copies are bounded by its input split, and
+    copies all over the table stay spread), and the totals are summed up before the shuffle.
+    Without ``by`` an empty frame still gets its total of zero.
+    """
+    numbers = _numeric(df, by)
+    sums = {name: f"__sum_{i}" for i, name in enumerate(numbers)}
+    rows = df.withColumns({"__task": F.spark_partition_id(), "__seed": F.lit(False)})
+    if not by:  # a total over nothing needs something to add up: one row of nulls
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+        seed = df.sparkSession.range(0, 1, 1, 1).select(*nulls, F.lit(0).alias("__task"), F.lit(True).alias("__seed"))
+        rows = rows.union(seed)
+    counted = rows.groupingSets([rows.columns, list(by)], *rows.columns).agg(
+        F.count(F.lit(1)).alias("__copies"),
+        F.grouping_id().alias("__set"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(aside) for name, aside in sums.items()],
+    )
+    is_total = F.col("__set") != 0
+    totalled = []
+    for f, shown in zip(df.schema.fields, _total_row(df, label, by, filler), strict=True):
+        shown = F.col(sums[f.name]) if f.name in sums else shown
+        totalled.append(F.when(is_total, shown).otherwise(F.col(f.name)).alias(f.name))
+    copies = F.when(is_total, F.lit(1)).otherwise(F.col("__copies")).cast("bigint")
+    wanted = counted.where(is_total | ~F.col("__seed"))
+    return wanted.select(*totalled, F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("__copy")).drop("__copy")
 
 
 def sorted_text(value: Column | str, separator: str = ",") -> Column:

@@ -18,6 +18,8 @@ from ..session import ensure_checkpoint_dir
 SLICE, COPY = "__slice", "__copy"
 # copies of one row that travel together before they are spread out again
 CHUNK = 1000
+# rows of a range: the number of ranges follows the number of rows
+SLICE_ROWS = 200_000
 
 
 class OrderedRows:
@@ -25,7 +27,8 @@ class OrderedRows:
 
     The cut is checkpointed: range borders come from a sample and must be the same
     for the rows and for what is carried over the borders, also after a lost
-    executor.
+    executor.  Unless ``slices`` is given, the rows are checkpointed and counted before the cut, so that
+    what they are derived from is computed once and a range has about ``SLICE_ROWS`` rows at any size.
 
     With ``unique`` the order keys identify a row.  Otherwise identical rows are
     counted and numbered, which makes the order total and the same in every run;
@@ -39,24 +42,25 @@ class OrderedRows:
     ):
         spark = df.sparkSession
         ensure_checkpoint_dir(spark)
-        slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.columns = df.columns
         if unique:
             self.order = list(order)
-            ranged = df.repartitionByRange(slices, *self.order)
+            cut, held = df, F.lit(1)
         else:
             self.order = [*order, F.col(COPY).asc()]
-            chunks = (
+            cut = (
                 df.groupBy(*df.columns)
                 .agg(F.count(F.lit(1)).alias("__n"))
                 .withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("__n"), F.lit(CHUNK))))
             )
+            held = F.least(F.col("__n") - F.col(COPY) + 1, F.lit(CHUNK))
+        if slices is None:
+            cut = cut.checkpoint()
+            slices = -(-(cut.agg(F.sum(held)).first()[0] or 1) // SLICE_ROWS)
+        ranged = cut.repartitionByRange(slices, *self.order)
+        if not unique:
             last = F.least(F.col("__n"), F.col(COPY) + (CHUNK - 1))
-            ranged = (
-                chunks.repartitionByRange(slices, *self.order)
-                .withColumn(COPY, F.explode(F.sequence(F.col(COPY), last)))
-                .drop("__n")
-            )
+            ranged = ranged.withColumn(COPY, F.explode(F.sequence(F.col(COPY), last))).drop("__n")
         self.rows = ranged.withColumn(SLICE, F.spark_partition_id()).checkpoint()
 
     def running_total(self, value: str, into: str) -> DataFrame:

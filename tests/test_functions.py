@@ -195,5 +195,10 @@ def test_previous_rows_with_very_many_copies(spark):
 
 
 def test_money_text(spark):
-    assert one(spark, S.money("t"), t="12.345") == Decimal("12.35")
-    assert one(spark, S.money("t"), t="-") is None
+    assert one(spark, S.money("t"), t="12.345") == Decimal("12.345")
+    assert one(spark, S.money("t"), t="-1234567890123456789.01") == Decimal("-1234567890123456789.01")
+    assert one(spark, S.money("t"), t="12.339999999999999858") == Decimal("12.34")
+    for text in ("-", "", "NaN", "Infinity", "1,000", None):
+        assert one(spark, S.money("t"), t=text or "") is None
+    with pytest.raises(Exception, match="amount out of range"):
+        one(spark, S.money("t"), t="1" + "0" * 25)
