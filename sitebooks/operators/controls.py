@@ -70,20 +70,56 @@ def payments_by_kind(
     )
 
 
-def subcontract_vs_payments(
-    subcontracts: DataFrame, paid: DataFrame, interest: str, names: Sequence[tuple[str, str]]
-) -> DataFrame:
-    """Subcontracts of interest next to what was paid for their project and service."""
-    listed = subcontracts.where(matches("project", interest) & ~matches("subcontract_name", "Old")).select(
+def payment_details(payments: DataFrame, interest: str, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """The payments of interest line by line, each labor or materials; an unknown type stays unknown."""
+    kind = F.col("transaction_type")
+    return payments.where(matches("project", interest)).select(
+        F.col("payment_date").alias("date"),
+        alias_matching(F.col("project"), names).alias("project"),
+        F.col("services").alias("service"),
+        F.trim("subcontract_name").alias("subcontract_name"),
+        F.col("subcontract").alias("subcontract_id"),
+        if_known(kind == EXPENSE, F.lit("Materials"), F.lit("Labor")).alias("type"),
+        F.col("amount_paid").alias("amount"),
+    )
+
+
+def _listed(subcontracts: DataFrame, interest: str, names: Sequence[tuple[str, str]]) -> DataFrame:
+    return subcontracts.where(matches("project", interest) & ~matches("subcontract_name", "Old")).select(
         alias_matching(F.col("project"), names).alias("project"),
         "service",
         F.trim("subcontract_name").alias("subcontract_name"),
         F.col("contract_amount").alias("subcontract_amount"),
         "budget_days",
     )
+
+
+def subcontract_table(subcontracts: DataFrame, interest: str, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """The subcontracts of interest that are not old ones, by project."""
+    return _listed(subcontracts, interest, names).orderBy(F.asc_nulls_last("project"))
+
+
+def subcontract_vs_payments(
+    subcontracts: DataFrame, paid: DataFrame, interest: str, names: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """Subcontracts of interest next to what was paid for their project and service."""
+    listed = _listed(subcontracts, interest, names)
     return joined(listed.distinct(), paid, ["project", "service"])
 
 
+def open_project_book(
+    subcontracts: DataFrame, payments: DataFrame, interest: str, names: Sequence[tuple[str, str]], skip_missing: bool = False
+) -> dict[str, DataFrame]:
+    """The four tables of the open projects' workbook."""
+    paid = payments_by_kind(payments, interest, names, skip_missing)
+    return {
+        "consolid": subcontract_vs_payments(subcontracts, paid, interest, names),
+        "detail_payments": payment_details(payments, interest, names),
+        "consolid_payments": paid,
+        "subct_raw": subcontract_table(subcontracts, interest, names),
+    }
+
+
 def _paid_by_type(payments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Payments per key: labor (subcontract and hourly) and materials; unknown sums count as zero."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (
     first_day_of_month,
+    in_windows,
     joined,
     last_day_of_previous_month,
     month_label,
@@ -27,6 +28,8 @@ NO_SUB = "0"
 # Fewer than this many empty months and at least this sum keep an account.
 MOST_ZERO_MONTHS, LEAST_SUM = 3, 100
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+# Most month columns of a matrix: a wider range is a wrong date, not a report.
+MOST_MONTHS = 1200
 
 
 def month_labels(first: dt.date, last: dt.date) -> list[str]:
@@ -43,9 +46,30 @@ def expense_rows(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
 
 def _month_sums(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     sums = classified_sums(ledger, expense_report, year_month=year_month("date"))
-    return sums.where("source = 'expense'").select(
-        "account", month_label("year_month").alias("period"), "amount"
-    )
+    return sums.where("source = 'expense'").select("account", "year_month", "amount")
+
+
+def _months_of(sums: DataFrame) -> list[str]:
+    """Labels from the first to the last month that ``sums`` hold; one row comes back to the driver."""
+    first, last, undated = sums.agg(
+        F.min("year_month"), F.max("year_month"), F.count_if(F.col("year_month").isNull())
+    ).first()
+    if undated:
+        raise ValueError("expenses without a date have no month column")
+    if first is None:
+        return []
+    labels = month_labels(first, last)
+    if len(labels) > MOST_MONTHS:
+        raise ValueError(f"expenses from {first} to {last} make {len(labels)} months, more than {MOST_MONTHS}")
+    return labels
+
+
+def _by_month(sums: DataFrame, months: Sequence[str], *keys: str) -> DataFrame:
+    """One column per month; months without expense are zero."""
+    labelled = sums.withColumn("period", month_label("year_month"))
+    cells = labelled.groupBy(*keys).pivot("period", list(months)) if months else labelled.groupBy(*keys)
+    wide = cells.agg(F.sum("amount").alias("amount"))
+    return wide.fillna(0, list(months)) if months else wide.select(*keys)
 
 
 def account_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
@@ -68,20 +92,20 @@ def account_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
     )
 
 
-def expense_matrix(ledger: DataFrame, expense_report: DataFrame, months: Sequence[str]) -> DataFrame:
+def expense_matrix(
+    ledger: DataFrame, expense_report: DataFrame, between: tuple[dt.date, dt.date] | None = None
+) -> DataFrame:
     """Main and sub account by month; months without expense are zero.
 
-    The month list is given, so the pivot needs no extra pass to find it.
+    The month columns follow the data: a first pass over the month sums finds their range, so no row can fall
+    outside.  ``between`` asks for the months between two days only: every account stays, with these columns.
     """
     split = separate(_month_sums(ledger, expense_report), "account", ["main_account", "sub_account"])
-    return (
-        split.withColumn("sub_account", F.coalesce("sub_account", F.lit(NO_SUB)))
-        .where(F.col("main_account") != UNSORTED_ACCOUNT)
-        .groupBy("main_account", "sub_account")
-        .pivot("period", list(months))
-        .agg(F.sum("amount"))
-        .fillna(0, list(months))
+    sums = split.withColumn("sub_account", F.coalesce("sub_account", F.lit(NO_SUB))).where(
+        F.col("main_account") != UNSORTED_ACCOUNT
     )
+    months = month_labels(*between) if between is not None else _months_of(sums)
+    return _by_month(sums, months, "main_account", "sub_account")
 
 
 def _row_sum(columns: Sequence[str]) -> Column:
@@ -129,10 +153,11 @@ def expense_by_month(matrix: DataFrame) -> DataFrame:
     return main.unpivot("main_account", months, "period", "amount")
 
 
-def account_zoom(ledger: DataFrame, expense_report: DataFrame, months: Sequence[str]) -> DataFrame:
+def account_zoom(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     """Full account by month with the row total, the account split into three levels."""
     sums = _month_sums(ledger, expense_report).where(nth_piece("account", ":", 0) != UNSORTED_ACCOUNT)
-    wide = sums.groupBy("account").pivot("period", list(months)).agg(F.sum("amount")).fillna(0, list(months))
+    months = _months_of(sums)
+    wide = _by_month(sums, months, "account")
     zoomed = wide.withColumn("all_period_sum", _row_sum(months)).orderBy("account", F.desc("all_period_sum"))
     return separate(zoomed, "account", ["main_account", "sub_account", "spec_account"])
 
@@ -176,3 +201,24 @@ def new_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
         .where(~F.col("classic_vendor"))
         .drop("vendor_seen", "account_seen")
     )
+
+
+def new_vendors_in(expenses: DataFrame, windows: DataFrame) -> DataFrame:
+    """Expense rows of vendors that a window counts as new, for windows given as a table.
+
+    ``windows`` has ``initial``, ``future_first`` and ``future_last``: a vendor is new to the window if no row up to
+    ``initial`` has it.  Windows may overlap and have any length; days meet windows by buckets, and the first
+    day of a vendor (or of an account of that name) decides, so no row is compared with another.
+    """
+    known = expenses.where(F.col("name").isNotNull() & F.col("account").isNotNull())
+    rows = known.select("date", "type", "name", "account", "amount").na.drop("any").distinct()
+    wanted = windows.select("initial", "future_first", "future_last").na.drop("any").distinct()
+    placed = in_windows(rows, "date", wanted, "future_first", "future_last")
+    firsts = known.groupBy("name", "account").agg(F.min("date").alias("seen"))
+    vendors = firsts.groupBy("name").agg(F.min("seen").alias("vendor_seen"))
+    accounts = firsts.groupBy(F.col("account").alias("name")).agg(F.min("seen").alias("account_seen"))
+    marked = placed.join(vendors, "name").join(accounts, "name", "left")
+    return marked.where(F.col("vendor_seen") > F.col("initial")).select(
+        "initial", "future_first", "future_last", "date", "type", "name", "account", "amount",
+        F.coalesce(F.col("account_seen") <= F.col("initial"), F.lit(False)).alias("classic_account"),
+    )

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from functools import cache
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import OrderedRows
+from .regression import LinearModel, fit_elastic_net
 
 # Length of the test period and of the forecast, penalty of the model.
 MONTHS, PENALTY = 3, 0.01
+# Day numbers count from here; the fit does not depend on it.
+ORIGIN = "2000-01-01"
 
 
 def ts_split(series: DataFrame, months: int = MONTHS) -> DataFrame:
@@ -31,26 +34,35 @@ def ts_features(series: DataFrame) -> DataFrame:
     )
 
 
-def fit_glm(train: DataFrame) -> PipelineModel:
-    """Penalised linear model on weekday, month and day number."""
-    labels = ["weekday", "month"]
-    indexed = [f"{c}_index" for c in labels]
-    encoded = [f"{c}_vector" for c in labels]
-    stages = [
-        StringIndexer(inputCols=labels, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded),
-        VectorAssembler(inputCols=[*encoded, "day_number"], outputCol="features"),
-        LinearRegression(
-            featuresCol="features", labelCol="value", predictionCol="predicted",
-            regParam=PENALTY, elasticNetParam=1.0,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(ts_features(train))
+@cache
+def polynomial_contrasts(levels: int) -> tuple[tuple[float, ...], ...]:
+    """Orthonormal polynomials of degree 1, 2, ... over ``levels`` equally spaced points, one row per level.
+
+    The coding of an ordered factor: its columns are orthogonal to the mean, so no level is left out.
+    """
+    points = np.arange(levels) - (levels - 1) / 2
+    basis, heights = np.linalg.qr(np.vander(points, increasing=True))
+    coded = basis * np.sign(np.diag(heights))
+    return tuple(tuple(row) for row in coded[:, 1:].tolist())
+
+
+def calendar_features(date: str = "date") -> dict[str, Column]:
+    """Weekday (from Sunday) and month as ordered factors, and the day number."""
+    out: dict[str, Column] = {}
+    for name, place, levels in (("weekday", F.dayofweek(date), 7), ("month", F.month(date), 12)):
+        for degree, column in enumerate(zip(*polynomial_contrasts(levels), strict=True), 1):
+            out[f"{name}_{degree}"] = F.element_at(F.array(*[F.lit(x) for x in column]), place)
+    out["day_number"] = F.datediff(F.col(date), F.lit(ORIGIN).cast("date")).cast("double")
+    return out
 
 
-def predict(model: PipelineModel, series: DataFrame) -> DataFrame:
-    columns = [c for c in series.columns if c != "predicted"]
-    return model.transform(ts_features(series)).select(*columns, "predicted")
+def fit_glm(train: DataFrame, penalty: float = PENALTY) -> LinearModel:
+    """Penalised linear model on weekday, month and day number; days without a value are left out."""
+    return fit_elastic_net(train, calendar_features(), F.col("value").cast("double"), penalty)
+
+
+def predict(model: LinearModel, series: DataFrame) -> DataFrame:
+    return series.withColumn("predicted", model.prediction(calendar_features()))
 
 
 def ts_glm(series: DataFrame) -> DataFrame:
@@ -60,6 +72,11 @@ def ts_glm(series: DataFrame) -> DataFrame:
     return predict(model, split.where("part = 'test'")).drop("part")
 
 
+def ts_glm_terms(series: DataFrame) -> DataFrame:
+    """The fitted terms of the training period with the optimality condition each one meets."""
+    return fit_glm(ts_split(series).where("part = 'train'")).terms(series.sparkSession)
+
+
 def future_days(series: DataFrame, months: int = MONTHS) -> DataFrame:
     """The days of the months after the last observed day."""
     last = series.agg(F.max("date").alias("last"))

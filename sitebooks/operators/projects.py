@@ -15,6 +15,7 @@ from ..functions import (
     if_known,
     joined,
     matches,
+    matching_values,
     nth_piece,
     separate,
     total,
@@ -147,16 +148,23 @@ def _signed(direction_out: str) -> Column:
     return F.when(F.col("direction") == direction_out, -F.col("amount")).otherwise(F.col("amount"))
 
 
-def _of_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
-    """Rows whose customer contains the short name of a project, once per project."""
+def _of_projects(rows: DataFrame, projects: DataFrame, regex: bool = False) -> DataFrame:
+    """Rows whose customer contains the short name of a project, or fits it as a regex, once per project.
+
+    Unknown customers belong to no project and stay out of the join.
+    """
     names = projects.select(F.col("project_name").alias("clue")).distinct()
-    pairs = containing_values(rows, "customer", names, "clue")
-    return joined(rows, pairs, ["customer"], "inner")
+    found = matching_values if regex else containing_values
+    known = rows.where(F.col("customer").isNotNull())
+    return known.join(found(known, "customer", names, "clue"), "customer")
 
 
-def project_cashflow(ledger: DataFrame, projects: DataFrame) -> DataFrame:
-    """Cost lines (negative, OUT) and income lines (IN) of every project."""
-    flow = _of_projects(_directed(ledger, "OUT", "IN"), projects)
+def project_cashflow(ledger: DataFrame, projects: DataFrame, regex: bool = False) -> DataFrame:
+    """Cost lines (negative, OUT) and income lines (IN) of every project.
+
+    With ``regex`` the project names are a table of regexes.
+    """
+    flow = _of_projects(_directed(ledger, "OUT", "IN"), projects, regex)
     return flow.withColumn("amount", _signed("OUT")).withColumnRenamed("clue", "project")
 
 
@@ -284,15 +292,16 @@ def project_cost_lines(
 
 
 def phase_costs(expenses: DataFrame, cut: dt.date | str, classes: Mapping[str, str]) -> DataFrame:
-    """Cost lines with their concept, class name and the phase a cut day puts them in."""
+    """Cost lines by day with their concept, class name and the phase a cut day puts them in."""
     early = F.col("date") <= F.lit(cut).cast("date")
-    return expenses.select("clue", "date", "account", "class", "amount").withColumns(
+    lines = expenses.select("clue", "date", "account", "class", "amount").withColumns(
         {
             "concept": cost_concept(F.col("account"), SHORT_CONCEPTS),
             "phase": if_known(early, F.lit("1st"), F.lit("2nd")),
             "class": alias_equal(F.col("class"), classes),
         }
     )
+    return lines.orderBy(F.asc_nulls_last("date"))
 
 
 def prior_buckets(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import (
     OrderedRows,
     append_total,
+    append_total_to_rows,
     clean_names,
     containing_values,
     drop_first_match,
@@ -18,6 +19,7 @@ from ..functions import (
     if_known,
     joined,
     matches,
+    matching_values,
     repeated_text,
     separate,
     serial_day,
@@ -35,6 +37,10 @@ RECEIVABLE = "Receiv"
 LARGE_INVOICE, LARGE_SHARE = 6000, "0.25"
 
 
+# Place of a row in its file, where the reader kept it.
+SOURCE_LINE = "source_line"
+
+
 # -- ageing and missing invoices ------------------------------------------------
 
 
@@ -116,7 +122,7 @@ def account_statement(
     projects: Sequence[tuple[str, str]],
     classes: Mapping[str, str],
 ) -> dict[str, DataFrame]:
-    """Open lines of a client, and the same consolidated per invoice.
+    """Open lines of a client, and the same consolidated per invoice, both by project.
 
     The classes of an invoice are counted before they are joined to a text, so
     an invoice with very many lines shuffles one row per distinct class.
@@ -138,7 +144,8 @@ def account_statement(
         F.max("open_balance").alias("open_balance"),
         repeated_text("class", "n").alias("class"),
     )
-    return {"detailed": detailed, "consolidated": consolidated}
+    by_project = F.asc_nulls_last("project")
+    return {"detailed": detailed.orderBy(by_project), "consolidated": consolidated.orderBy(by_project)}
 
 
 # -- state of account ------------------------------------------------------------
@@ -154,8 +161,11 @@ def statement_lines(ledger: DataFrame, clues: Sequence[str]) -> DataFrame:
     account = F.col("account")
     rows = ledger.where((F.col("type") == "Invoice") & account.isNotNull() & ~matches(account, RECEIVABLE))
     rows = with_clues(rows, "name", clues)
+    placed = [SOURCE_LINE] if SOURCE_LINE in ledger.columns else []
     named = separate(
-        separate(rows.select("clue", "date", "type", "num", "name", "account", "amount"), "name", ["client", "project"]),
+        separate(
+            rows.select("clue", "date", "type", "num", "name", "account", "amount", *placed), "name", ["client", "project"]
+        ),
         "account",
         ["income", "service"],
     )
@@ -185,11 +195,13 @@ def state_of_account(ledger: DataFrame, invoices: DataFrame, clues: Sequence[str
 def statement_compacted(lines: DataFrame, opened: DataFrame) -> DataFrame:
     """Lines with open balance; a materials line takes the service of the line before.
 
-    The look-back is applied twice over the whole statement in a stated order
-    (clue, invoice, day, then all other columns) and never crosses a clue.
+    The look-back is applied twice over the whole statement and never crosses a clue.  Lines that carry their
+    place in the source (``source_line``) follow its order; others a stated one (clue, invoice, day, then all
+    other columns).
     """
     full = joined(lines, opened.select("clue", "num", "open_balance"), ["clue", "num"])
-    order = ["clue", "num", "date", "service", "income", "amount", "client", "project", "type"]
+    order = ["num", "date", "service", "income", "amount", "client", "project", "type", "open_balance"]
+    order = ["clue", *([SOURCE_LINE] if SOURCE_LINE in lines.columns else []), *order]
     placed = OrderedRows(
         full.withColumn("seen", F.struct("clue", "service")), [F.asc_nulls_last(c) for c in order]
     ).with_previous("seen", 2, "before")
@@ -226,7 +238,7 @@ def charged_by_service(compacted: DataFrame) -> DataFrame:
 def relabelled_lines(compacted: DataFrame, without: str, services: Mapping[str, str]) -> DataFrame:
     """Lines under report names of services, one project excluded, with a total per clue."""
     rows = compacted.where(~matches("project", without)).drop("open_balance")
-    return append_total(rows.withColumn("service", alias_equal(F.col("service"), services)), "type", by=["clue"])
+    return append_total_to_rows(rows.withColumn("service", alias_equal(F.col("service"), services)), "type", by=["clue"])
 
 
 def invoice_paid(
@@ -252,7 +264,7 @@ def invoice_paid(
 def invoices_paid_of(invoices: DataFrame, nums: DataFrame) -> DataFrame:
     """Invoices whose number is in ``nums``, paid amount added, with a total row."""
     found = joined(invoices, nums.select("num").distinct(), ["num"], "left_semi")
-    return append_total(found.withColumn("amount_paid", F.col("amount") - F.col("open_balance")), "date")
+    return append_total_to_rows(found.withColumn("amount_paid", F.col("amount") - F.col("open_balance")), "date")
 
 
 # -- invoiced, paid and open per clue ---------------------------------------------
@@ -303,7 +315,7 @@ def global_state(ledger: DataFrame, invoices: DataFrame, clues: Sequence[str]) -
 
 
 def customer_pareto(ledger: DataFrame, as_of: dt.date, months: int) -> DataFrame:
-    """Amount per customer since a month start, share of the total and running share."""
+    """Amount per customer since a month start, share of the total and running share, largest first."""
     since = first_day_of_month(F.add_months(F.lit(as_of), -months))
     by_customer = (
         ledger.where(F.col("date") >= since).groupBy("customer").agg(total_or_zero("amount").alias("amount"))
@@ -311,29 +323,46 @@ def customer_pareto(ledger: DataFrame, as_of: dt.date, months: int) -> DataFrame
     order = [F.desc_nulls_last("amount"), F.asc_nulls_last("customer")]
     placed = OrderedRows(by_customer, order, unique=True)
     grand = placed.rows.agg(F.sum("amount").cast("double")).scalar()
-    return placed.running_total("amount", "running").select(
+    shares = placed.running_total("amount", "running").select(
         "customer",
         "amount",
         F.try_divide(F.col("amount").cast("double"), grand).alias("share"),
         F.try_divide(F.col("running").cast("double"), grand).alias("pareto"),
     )
+    return shares.orderBy(*order)
 
 
-def receivable_perspective(ledger: DataFrame, invoices: DataFrame, as_of: dt.date, months: int) -> DataFrame:
-    """Invoiced, paid and open for every customer active since a month start.
+def state_by_clue_table(ledger: DataFrame, invoices: DataFrame, clues: DataFrame, regex: bool = True) -> DataFrame:
+    """Invoiced, paid and open for every clue of a table: a regex, or with ``regex`` off a plain text.
 
-    Customer names are data, so they are looked for as plain text, not as regexes.
-    Names and customers are summed before they are matched.
+    Names and customers are summed before they are matched.  An unknown clue fits nothing.
     """
-    since = first_day_of_month(F.add_months(F.lit(as_of), -months))
-    active = ledger.where(F.col("date") >= since).select(F.col("customer").alias("clue")).distinct()
-    by_name = invoices.groupBy("name").agg(
+    wanted = clues.select("clue").distinct()
+    found = matching_values if regex else containing_values
+    by_name = invoices.where(F.col("name").isNotNull()).groupBy("name").agg(
         total_or_null("amount").alias("amount"), total_or_null("open_balance").alias("open_balance")
     )
-    by_customer = _positive_payments(ledger).groupBy("customer").agg(F.sum("amount").alias("amount"))
-    invoiced = joined(containing_values(by_name, "name", active, "clue"), by_name, ["name"], "inner")
-    paid = joined(containing_values(by_customer, "customer", active, "clue"), by_customer, ["customer"], "inner")
-    state = _state(active, _invoiced(invoiced), paid.groupBy("clue").agg(F.sum("amount").alias("total_paid")))
+    by_customer = (
+        _positive_payments(ledger)
+        .where(F.col("customer").isNotNull())
+        .groupBy("customer")
+        .agg(F.sum("amount").alias("amount"))
+    )
+    invoiced = found(by_name, "name", wanted, "clue").join(by_name, "name")
+    paid = found(by_customer, "customer", wanted, "clue").join(by_customer, "customer")
+    return _state(wanted, _invoiced(invoiced), paid.groupBy("clue").agg(F.sum("amount").alias("total_paid")))
+
+
+def receivable_perspective(
+    ledger: DataFrame, invoices: DataFrame, as_of: dt.date, months: int, regex: bool = False
+) -> DataFrame:
+    """Invoiced, paid and open for every customer active since a month start.
+
+    Customer names are data: they are looked for as plain text, or as regexes if asked for.
+    """
+    since = first_day_of_month(F.add_months(F.lit(as_of), -months))
+    active = ledger.where(F.col("date") >= since).select(F.col("customer").alias("clue"))
+    state = state_by_clue_table(ledger, invoices, active, regex)
     zeros = ["invoiced", "total_paid", "open_balance", "diff_invoiced_paid"]
     # an unknown customer is reported under the text "0"
     return state.fillna(0, zeros).fillna("0", ["project"]).fillna(False, ["logical_match"]).distinct()
@@ -361,11 +390,11 @@ def invoice_subset_total(ledger: DataFrame, nums: DataFrame) -> DataFrame:
     """Lines of the listed invoices without receivables, with a total row."""
     rows = ledger.where(F.col("account").isNotNull() & ~matches("account", "Recei")).fillna(0, ["amount"])
     found = joined(rows, nums.select("num").distinct(), ["num"], "left_semi")
-    return append_total(found.drop("memo", "name", "creation_date"), "type")
+    return append_total_to_rows(found.drop("memo", "name", "creation_date"), "type")
 
 
 def client_balance(ledger: DataFrame, invoices: DataFrame, client: str) -> DataFrame:
-    """Invoices and credit memos of a client on receivable accounts, with what is open.
+    """Invoices and credit memos of a client on receivable accounts, with what is open, by project.
 
     A document the invoice list does not know is open in full.
     """
@@ -374,7 +403,7 @@ def client_balance(ledger: DataFrame, invoices: DataFrame, client: str) -> DataF
     ).select("date", "type", "num", "customer", "account", "amount", "creation_date")
     full = joined(rows, invoices.select("num", "open_balance"), ["num"])
     named = separate(full, "customer", ["client", "project"]).drop("client")
-    return named.withColumn("open_balance", F.coalesce("open_balance", "amount"))
+    return named.withColumn("open_balance", F.coalesce("open_balance", "amount")).orderBy(F.asc_nulls_last("project"))
 
 
 def bank_receipts(statement: DataFrame, description: str, origin: str = "1899-12-30") -> DataFrame:

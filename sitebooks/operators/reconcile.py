@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import (
     append_total,
+    append_total_to_rows,
     drop_first_match,
     joined,
     map_columns,
     matches,
+    quantiles,
     serial_day,
     total,
     total_or_null,
@@ -72,7 +74,7 @@ def reconcile_totals(ledger_rows: DataFrame, system_b: DataFrame) -> DataFrame:
 def day_in_ledger(ledger: DataFrame, project: str, day: Day) -> DataFrame:
     """Ledger rows of one project and day with a total row."""
     rows = ledger.where(matches("customer", project) & (F.col("date") == F.lit(day).cast("date")))
-    return append_total(rows.drop("customer", "split", "account"), "type")
+    return append_total_to_rows(rows.drop("customer", "split", "account"), "type")
 
 
 def day_in_system_b(payments: DataFrame, project: str, day: Day) -> DataFrame:
@@ -81,7 +83,7 @@ def day_in_system_b(payments: DataFrame, project: str, day: Day) -> DataFrame:
     named = rows.withColumnsRenamed(
         {"payment_date": "date", "transaction_type": "type", "amount_paid": "amount"}
     )
-    return append_total(named.withColumn("name", F.trim("resource")).drop("resource"), "type")
+    return append_total_to_rows(named.withColumn("name", F.trim("resource")).drop("resource"), "type")
 
 
 # -- subcontract lookups -------------------------------------------------------------
@@ -167,25 +169,28 @@ def wages_by_date(payroll: DataFrame) -> DataFrame:
 
 
 def wages_with_total(payroll: DataFrame) -> DataFrame:
-    """Wage payments in the order of their days, with a total."""
-    wages = payroll.where(matches("memo", WAGES)).orderBy(F.asc_nulls_last("date"))
-    return append_total(wages.select(F.col("date").cast("string").alias("date"), "amount"), "date")
+    """Wage payments in the order of their days, then those of unknown days, then the total."""
+    wages = payroll.where(matches("memo", WAGES))
+    rows = append_total_to_rows(wages.select(F.col("date").cast("string").alias("date"), "amount"), "date")
+    return rows.orderBy((F.col("date") == "Total").eqNullSafe(True), F.asc_nulls_last("date"))
 
 
 def wages_summary(payroll: DataFrame) -> DataFrame:
     """Number, days and five-number summary of the wage payments of one vendor and period."""
+    wages = payroll.where(matches("memo", WAGES))
     amount = F.col("amount").cast("double")
-    return payroll.where(matches("memo", WAGES)).agg(
+    ends = wages.agg(
         F.count(F.lit(1)).alias("n"),
         F.min("date").alias("first_day"),
         F.max("date").alias("last_day"),
         F.min(amount).alias("minimum"),
-        F.percentile(amount, F.lit(0.25)).alias("first_quartile"),
-        F.percentile(amount, F.lit(0.5)).alias("median"),
         F.avg("amount").cast("double").alias("mean"),
-        F.percentile(amount, F.lit(0.75)).alias("third_quartile"),
         F.max(amount).alias("maximum"),
     )
+    shares = quantiles(wages, "amount", {"first_quartile": 0.25, "median": 0.5, "third_quartile": 0.75})
+    both = ends.withColumn("quartiles", shares.select(F.struct("*")).scalar())
+    order = ["n", "first_day", "last_day", "minimum", "quartiles.first_quartile", "quartiles.median", "mean"]
+    return both.select(*order, "quartiles.third_quartile", "maximum")
 
 
 def payroll_file_by_date(payroll_file: DataFrame) -> DataFrame:
