@@ -229,6 +229,20 @@ VIEWS: dict[str, tuple[str, str]] = {
         "from customer",
         "",
     ),
+    # windows of looking for new vendors: a quarter's start, and lengths that make them overlap
+    "vendor_windows": (
+        "select distinct quarter_start - 31 as initial, quarter_start as future_first, quarter_start + "
+        "case when month(quarter_start) = 1 then 200 else 100 end as future_last from (select "
+        "cast(date_trunc('quarter', o_orderdate) as date) as quarter_start from orders) q",
+        "",
+    ),
+    # clues that are data: regexes someone keeps in a table, with alternatives, classes and anchors
+    "clue_table": (
+        "select case s_suppkey % 4 when 0 then '^' || client || '[:](BUILD|MACH).+' when 1 then client || ':AUTO|' || "
+        "client || ':HOUSE' when 2 then client || ':?F.*URE$' else client end as clue from (select s_suppkey, "
+        "'Customer#' || lpad(cast(s_suppkey as string), 9, '0') as client from supplier) c",
+        "",
+    ),
     "daily_series": (
         "select cast(o_orderdate as date) as date, count(*) as value from orders group by cast(o_orderdate as date)",
         "",
@@ -350,7 +364,7 @@ def with_views(query: str, steps: dict[str, str] | None = None) -> str:
 
     def visit(text: str) -> None:
         for name in _reads(text, texts):
-            if name not in ordered:
+            if name not in ordered and texts[name] is not text:  # a recursive step reads itself
                 visit(texts[name])
                 ordered.append(name)
 
@@ -360,5 +374,5 @@ def with_views(query: str, steps: dict[str, str] | None = None) -> str:
     ctes = ",\n".join(f"{n} as ({texts[n]})" for n in ordered)
     body = query.lstrip()
     if body.lower().startswith("with "):
-        return f"with {ctes},\n{body[5:]}"
-    return f"with {ctes}\n{body}"
+        return f"with recursive {ctes},\n{body[5:]}"
+    return f"with recursive {ctes}\n{body}"
