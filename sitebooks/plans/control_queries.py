@@ -193,8 +193,27 @@ def payments_by_kind(t: Tables):
     left join paid_kinds p on s.project is not distinct from p.project and s.service is not distinct from p.service""",
 )
 def subcontract_vs_payments(t: Tables):
-    paid = C.payments_by_kind(t.view("payments_b"), INTEREST, ALIASES, skip_missing=True)
-    return C.subcontract_vs_payments(t.view("subcontracts"), paid, INTEREST, ALIASES)
+    return C.open_project_book(t.view("subcontracts"), t.view("payments_b"), INTEREST, ALIASES, skip_missing=True)["consolid"]
+
+
+@query(
+    "payment_details",
+    f"""select payment_date as date, {_ALIAS} as project, services as service, trim(subcontract_name) as subcontract_name,
+      subcontract as subcontract_id, case when transaction_type = 'Expense' then 'Materials' else 'Labor' end as type,
+      amount_paid::double as amount from payments_b where regexp_matches(project, '{INTEREST}')""",
+)
+def payment_details(t: Tables):
+    return C.open_project_book(t.view("subcontracts"), t.view("payments_b"), INTEREST, ALIASES)["detail_payments"]
+
+
+@query(
+    "subcontract_table",
+    f"""select {_ALIAS} as project, service, trim(subcontract_name) as subcontract_name,
+      contract_amount::double as subcontract_amount, budget_days from subcontracts
+    where regexp_matches(project, '{INTEREST}') and subcontract_name not like '%Old%'""",
+)
+def subcontract_table(t: Tables):
+    return C.open_project_book(t.view("subcontracts"), t.view("payments_b"), INTEREST, ALIASES)["subct_raw"]
 
 
 def _typed(keys: str) -> str:

@@ -287,16 +287,15 @@ def flat_drywall(t: Tables):
     """with g as (select a.*, p.price, p.price * a.sqft as total_price from (
         select project, location, service, difficulty, design, sum(total_sf)::decimal(18,2) as sqft
         from flat where service = 'finish' group by 1, 2, 3, 4, 5) a
-      left join (select service, difficulty, design, min(price) as price from prices group by 1, 2, 3) p
+      left join (select * from prices where price is not null) p
         on p.service = a.service and p.difficulty is not distinct from a.difficulty and p.design is not distinct from a.design)
     select project, location, service, difficulty, design as material, sqft::double as sqft, price::double as price,
       total_price::double as total_price from g union all select 'Total', '-', '-', '-', '-', sum(sqft)::double, null,
       coalesce(sum(total_price), 0)::double from g""",
 )
 def flat_finish(t: Tables):
-    # the earlier price list has one finish price per difficulty and design
-    prices = _prices(t).groupBy("service", "difficulty", "design").agg(F.min("price").alias("price"))
-    return E.flat_finish(E.flat_takeoff(t.view("takeoff")), prices)
+    # a line meets every price of its difficulty and design, whatever the texture and thickness
+    return E.flat_finish(E.flat_takeoff(t.view("takeoff")), _prices(t))
 
 
 @query(
@@ -403,12 +402,71 @@ def ts_features(t: Tables):
     return T.ts_features(t.view("daily_series"))
 
 
-@query("ts_glm")
+_P, _SWEEPS = 18, 150
+_CODED = ", ".join(
+    f"({list(column)})[{place}]"
+    for place, levels in (("(dayofweek(date) + 1)", 7), ("month(date)", 12))
+    for column in zip(*T.polynomial_contrasts(levels))
+)
+_DESIGN = f"[{_CODED}, (date - date '{T.ORIGIN}')::double]::double[]"
+
+
+def _glm_steps(name: str, rows: str) -> None:
+    """The model by the same objective, its coordinate descent as a recursive query on the Gram matrix."""
+    STEPS[f"{name}_rows"] = f"select row_number() over () as id, value::double as y, {_DESIGN} as v from {rows}"
+    STEPS[f"{name}_cells"] = f"select id, y, generate_subscripts(v, 1) as i, unnest(v) as x from {name}_rows"
+    STEPS[f"{name}_scale"] = f"""
+      select i, avg(x) as mx, stddev_pop(x) as sx, covar_pop(x, y) / stddev_pop(x) as c from {name}_cells group by i"""
+    STEPS[f"{name}_gram"] = f"""
+      select a.i, b.i as j, covar_pop(a.x, b.x) / any_value(s.sx * t.sx) as r from {name}_cells a join {name}_cells b using (id)
+      join {name}_scale s on s.i = a.i join {name}_scale t on t.i = b.i group by a.i, b.i"""
+    STEPS[f"{name}_descent"] = f"""
+      select 0 as step, list_resize([]::double[], {_P}, 0.0) as beta, (select list(c order by i) from {name}_scale) as c,
+        (select list(gram_row order by i) from (select i, list(r order by j) as gram_row from {name}_gram group by i)) as g
+      union all select step + 1, list_concat(list_concat(beta[1:step % {_P}], [sign(z) * greatest(abs(z) - {T.PENALTY}, 0)]),
+        beta[step % {_P} + 2:]), c, g from (select *, c[step % {_P} + 1] - list_inner_product(g[step % {_P} + 1], beta)
+          + beta[step % {_P} + 1] as z from {name}_descent where step < {_P * _SWEEPS})"""
+    STEPS[f"{name}_terms"] = f"""
+      select i, mx, beta[i] / sx as b, d.c[i] - list_inner_product(g[i], beta) as slack
+      from (select * from {name}_descent order by step desc limit 1) d cross join {name}_scale s"""
+    STEPS[f"{name}_model"] = f"""
+      select list(b order by i) as b, (select avg(y) from {name}_rows) - sum(b * mx) as b0 from {name}_terms"""
+
+
+_glm_steps("glm_train", "(select * from daily_series where date <= (select day from cut)) d")
+_glm_steps("glm_all", "daily_series")
+
+
+@query(
+    "ts_glm",
+    f"""select date, value, round(b0 + list_inner_product({_DESIGN}, b), 6) as predicted from daily_series
+    cross join glm_train_model where date > (select day from cut)""",
+)
 def ts_glm(t: Tables):
     return T.ts_glm(t.view("daily_series"))
 
 
-@query("ts_future")
+_TERMS = [
+    "(intercept)", *[f"weekday_{i}" for i in range(1, 7)], *[f"month_{i}" for i in range(1, 12)], "day_number"
+]
+
+
+@query(
+    "ts_glm_terms",
+    f"""select ({_TERMS})[i + 1] as term, round(coefficient, 6) + 0.0 as coefficient, round(gradient, 6) as gradient,
+      {T.PENALTY} as bound from (select i, b as coefficient, slack as gradient from glm_train_terms
+        union all select 0, b0, null from glm_train_model) m""",
+)
+def ts_glm_terms(t: Tables):
+    return T.ts_glm_terms(t.view("daily_series"))
+
+
+@query(
+    "ts_future",
+    f"""select date, round(b0 + list_inner_product({_DESIGN}, b), 6) as predicted from (
+      select unnest(generate_series(last + interval 1 day, last + interval 3 month, interval 1 day))::date as date
+      from (select max(date) as last from daily_series) m) f cross join glm_all_model""",
+)
 def ts_future(t: Tables):
     return T.ts_future(t.view("daily_series"))
 

@@ -8,6 +8,7 @@ from ..operators import expenses as X
 from .registry import AS_OF, STEPS, Tables, query
 
 SINCE = "2000-01-01"
+# the months of the test tables; the operators find them in the data
 MONTHS = X.month_labels(dt.date(1995, 1, 1), AS_OF)
 WITHOUT = ["Fuel"]
 
@@ -50,8 +51,8 @@ def account_vendors(t: Tables):
     return X.account_vendors(rows, SINCE)
 
 
-def _matrix(t: Tables, months=MONTHS):
-    return X.expense_matrix(t.ledger("date", "account", "amount"), t.view("expense_report"), months)
+def _matrix(t: Tables, between=None):
+    return X.expense_matrix(t.ledger("date", "account", "amount"), t.view("expense_report"), between)
 
 
 @query("expense_matrix", "select * from matrix")
@@ -68,7 +69,7 @@ def expense_matrix(t: Tables):
 )
 def expense_budget(t: Tables):
     rows = X.expense_rows(t.ledger("date", "account", "name", "amount"), t.view("expense_report"))
-    matrix = _matrix(t, [*_LAST, *_THIS])
+    matrix = _matrix(t, (dt.date(AS_OF.year - 1, 1, 1), AS_OF))
     return X.expense_budget(matrix, X.account_vendors(rows, SINCE), AS_OF, without=WITHOUT)
 
 
@@ -91,7 +92,7 @@ def expense_by_month(t: Tables):
     from expend where split_part(account, ':', 1) <> 'Ask Accountant' group by account""",
 )
 def account_zoom(t: Tables):
-    return X.account_zoom(t.ledger("date", "account", "amount"), t.view("expense_report"), MONTHS)
+    return X.account_zoom(t.ledger("date", "account", "amount"), t.view("expense_report"))
 
 
 STEPS["months_seen"] = """
@@ -112,3 +113,16 @@ select distinct cast(date_trunc('month', date) as date) as this_month,
 def new_vendors(t: Tables):
     rows = X.expense_rows(t.ledger("date", "type", "name", "account", "amount"), t.view("expense_report"))
     return X.new_vendors(rows, "1994-12-01")
+
+
+@query(
+    "new_vendors_in_windows",
+    """select distinct w.initial, w.future_first, w.future_last, e.date, e.type, e.name, e.account, e.amount::double as amount,
+      exists (select 1 from expend a where a.name is not null and a.account = e.name and a.date <= w.initial) as classic_account
+    from expend e join vendor_windows w on e.date between w.future_first and w.future_last
+    where e.name is not null and e.account is not null and e.amount is not null and not exists (
+      select 1 from expend v where v.account is not null and v.name = e.name and v.date <= w.initial)""",
+)
+def new_vendors_in_windows(t: Tables):
+    rows = X.expense_rows(t.ledger("date", "type", "name", "account", "amount"), t.view("expense_report"))
+    return X.new_vendors_in(rows, t.view("vendor_windows"))

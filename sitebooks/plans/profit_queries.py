@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import total_or_zero
@@ -84,6 +87,25 @@ def clean_ledger(t: Tables):
     return L.clean_export(t.view("raw_export"))
 
 
+_CLEANED = """cast(strptime(trim(date), '%m/%d/%Y') as date) as date, trim(transaction_type) as type, num, trim(account) as account,
+  try_cast(amount as decimal(18,2))::double as amount, strptime(create_date, '%m/%d/%Y %H:%M:%S') as creation_date"""
+
+
+@query(
+    "clean_exports",
+    f"""select 'transactions' as export, {_CLEANED} from raw_export where date is not null
+    union all select 'expenses', {_CLEANED} from raw_export where date is not null and trim(transaction_type) = 'Expense'
+    union all select 'invoices', {_CLEANED} from raw_export where date is not null and trim(transaction_type) = 'Invoice'""",
+)
+def clean_exports(t: Tables):
+    raw = t.view("raw_export")
+    kinds = {"transactions": raw}
+    kinds |= {name: raw.where(F.trim("transaction_type") == kind) for name, kind in (("expenses", "Expense"), ("invoices", "Invoice"))}
+    columns = ["export", "date", "type", "num", "account", "amount", "creation_date"]
+    cleaned = [df.withColumn("export", F.lit(name)).select(*columns) for name, df in L.clean_exports(kinds).items()]
+    return reduce(DataFrame.unionByName, cleaned)
+
+
 @query("classified_ledger", "select * replace (amount::double as amount) from classified")
 def classified_ledger(t: Tables):
     return L.classified_ledger(t.ledger(), t.view("expense_report"))

@@ -171,6 +171,18 @@ def project_cashflow(t: Tables):
     return J.project_cashflow(t.ledger(*_ROWS), _recent(t))
 
 
+@query(
+    "clue_table_cashflow",
+    f"""select project, direction, date, type, num, name, class, customer, account, amount::double as amount from (
+      select clue as project, 'OUT' as direction, l.* replace (-amount as amount) from ledger l
+        join clue_table on regexp_matches(l.customer, clue) where {_COST}
+      union all select clue, 'IN', l.* from ledger l join clue_table on regexp_matches(l.customer, clue) where {_INCOME}) f""",
+)
+def clue_table_cashflow(t: Tables):
+    clues = t.view("clue_table").withColumnRenamed("clue", "project_name")
+    return J.project_cashflow(t.ledger(*_ROWS), clues, regex=True)
+
+
 @query(
     "project_status",
     """with s as (select r.file_name, sum(f.amount) as status from flow f

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import receivables as R
+from ..sources import bag_delta
 from .registry import AS_OF, STEPS, Tables, query
 
 CLUES = ["BUILD", "MACH", "no such client"]
@@ -109,6 +110,23 @@ def snapshot_delta(t: Tables):
     return R.snapshot_delta(new, new.where("date < '2001-10-01'"))
 
 
+@query(
+    "snapshot_bag_delta",
+    """with n as (select date, type, name, account, amount from ledger),
+      o as (select date + case when month(date) = 2 then 1 else 0 end as date, type, name, account, amount
+        from ledger where date < '2001-10-01'),
+      d as (select *, 1 as copy from (select * from n except all select * from o) a
+        union all select *, -1 from (select * from o except all select * from n) b)
+    select date, type, name, account, amount::double as amount, sum(copy)::bigint as copies from d group by all""",
+)
+def snapshot_bag_delta(t: Tables):
+    """The old extract has the earlier months, its February rows a day later."""
+    new = t.ledger("date", "type", "name", "account", "amount")
+    moved = F.date_add("date", F.when(F.month("date") == 2, 1).otherwise(0))
+    old = new.where("date < '2001-10-01'").withColumn("date", moved)
+    return bag_delta(new, old)
+
+
 @query("invoice_lines_open", "select * replace (amount::double as amount, open_balance::double as open_balance) from open_lines")
 def invoice_lines_open(t: Tables):
     lines = R.invoice_lines(t.ledger("date", "type", "account", "customer", "num", "amount"), INTEREST)
@@ -297,6 +315,19 @@ def customer_pareto(t: Tables):
     return R.customer_pareto(t.ledger("date", "customer", "amount"), AS_OF, 5)
 
 
+@query(
+    "clue_table_state",
+    f"""select project, {_STATE} from (select clue as project,
+      (select coalesce(sum(amount), 0) from invoices i where regexp_matches(i.name, clue)) as invoiced,
+      (select coalesce(sum(open_balance), 0) from invoices i where regexp_matches(i.name, clue)) as open_balance,
+      (select coalesce(sum(amount), 0) from ledger p where p.type = 'Payment' and p.amount > 0
+        and regexp_matches(p.customer, clue)) as total_paid from clue_table) s""",
+)
+def clue_table_state(t: Tables):
+    rows = t.ledger("type", "customer", "amount")
+    return R.state_by_clue_table(rows, t.view("invoices"), t.view("clue_table"))
+
+
 @query("receivable_perspective", "select * from perspective")
 def receivable_perspective(t: Tables):
     rows = t.ledger("date", "type", "customer", "amount")

@@ -174,13 +174,12 @@ def test_new_vendor_window_loses_days_after_a_short_month(spark):
 
 
 def test_budget_keeps_active_accounts(spark):
-    months = expenses.month_labels(D(2000, 1, 1), AS_OF)
     lines = [{"account": "Main:Busy", "name": "v,1", "date": D(2000, 3, 1), "amount": 1200}]
     lines += [{"account": "Main:Busy", "name": n, "date": D(2001, m, 1), "amount": 60} for n, m in (("v,1", 9), (None, 10))]
     lines += [{"account": "Quiet", "name": "w", "date": D(2001, 1, 1), "amount": 5000}]
     rows, accounts = book(spark, *lines), report(spark, "Main:Busy", "Quiet")
     budget = expenses.expense_budget(
-        expenses.expense_matrix(rows, accounts, months),
+        expenses.expense_matrix(rows, accounts, (D(2000, 1, 1), AS_OF)),
         expenses.account_vendors(expenses.expense_rows(rows, accounts), "2000-01-01"),
         AS_OF,
     ).collect()
@@ -343,3 +342,65 @@ def test_change_orders_need_payments(spark):
     orders = spark.createDataFrame([("a", 1), ("b", 2)], "project string, change_order_number int")
     analysis = spark.createDataFrame([("a",), ("a",)], "project string")
     assert [r.project for r in controls.change_orders(orders, analysis).collect()] == ["a"]
+
+
+def test_open_project_book(spark, rows):
+    payments = spark.createDataFrame(
+        [(D(2021, 1, 2), "Expense", "52 T house", "Stucco", "SC-1", " Stucco A ", Decimal(5)),
+         (D(2021, 1, 3), "Hourly Labor", "52 T house", "Stucco", "SC-1", "Stucco A", Decimal(7)),
+         (D(2021, 1, 3), None, "52 T house", "Paint", None, None, None),
+         (D(2021, 1, 3), "Expense", "elsewhere", "Paint", "SC-2", "x", Decimal(1))],
+        "payment_date date, transaction_type string, project string, services string, subcontract string, "
+        "subcontract_name string, amount_paid decimal(18,2)",
+    )
+    contracts = spark.createDataFrame(
+        [("52 T house", "Stucco", "Stucco A ", 100, 3), ("52 T house", "Stucco", "Stucco A ", 100, 3),
+         ("27 F house", "Paint", None, 50, 1), ("52 T house", "Stucco", "Old stucco", 9, 9), (None, "Stucco", "x", 1, 1)],
+        "project string, service string, subcontract_name string, contract_amount int, budget_days int",
+    )
+    names = (("52 T", "52 Tarpon"), ("27 F", "27 Flamingo"))
+    book = controls.open_project_book(contracts, payments, "52 T|27 F", names, skip_missing=True)
+    assert list(book) == ["consolid", "detail_payments", "consolid_payments", "subct_raw"]
+    assert rows(book["detail_payments"], "project", "subcontract_name", "type", "amount") == [
+        ("52 Tarpon", "Stucco A", "Labor", Decimal(7)), ("52 Tarpon", "Stucco A", "Materials", Decimal(5)), ("52 Tarpon", None, None, None)]
+    listed = book["subct_raw"].collect()
+    assert [r.project for r in listed] == ["27 Flamingo", "52 Tarpon", "52 Tarpon"]
+    assert rows(book["consolid"], "project", "subcontract_amount", "labor", "materials") == [
+        ("27 Flamingo", 50, None, None), ("52 Tarpon", 100, Decimal(7), Decimal(5))]
+
+
+def test_three_exports_are_cleaned_alike(spark):
+    columns = ["date", "transaction_type", "num", "name", "memo_description", "account", "split", "amount", "customer", "class", "create_date", "last_modified"]
+    schema = ", ".join(f"{c} string" for c in columns)
+
+    def export(*amounts):
+        lines = [("1/5/2021", " Bill ", "S", None, None, "a", None, a, None, None, "1/5/2021 1:2:3", None) for a in amounts]
+        return spark.createDataFrame([*lines, (None, "Total", *[None] * 10)], schema)
+
+    cleaned = ledger.clean_exports({"transactions": export("1.005", "-"), "expenses": export("2"), "invoices": export().where("false")})
+    assert {name: df.count() for name, df in cleaned.items()} == {"transactions": 2, "expenses": 1, "invoices": 0}
+    got = cleaned["transactions"].orderBy(F.desc_nulls_last("amount")).collect()
+    assert [r.amount for r in got] == [Decimal("1.005"), None] and got[0].type == "Bill"
+    assert "memo" in cleaned["invoices"].columns and "create_date" not in cleaned["invoices"].columns
+
+
+def test_reports_come_in_their_stated_order(spark):
+    book_rows = book(spark, *[{"customer": c, "amount": a} for c, a in (("b", 5), ("a", 90), ("c", 40), (None, 7), ("d", 5))])
+    assert [r.customer for r in receivables.customer_pareto(book_rows, AS_OF, 12).collect()] == ["a", "c", None, "b", "d"]
+    costs = book(spark, {"account": "Fees", "date": D(2001, 5, 1)}, {"account": "Fees", "date": D(2001, 1, 1)}).withColumn("clue", F.lit("x"))
+    assert [r.date.month for r in projects.phase_costs(costs, "2001-03-01", {}).collect()] == [1, 5]
+    lines = spark.createDataFrame([(D(2001, 1, 1), "c", p, p, "k", 5, 9) for p in "bca"], "date date, client string, project string, num string, class string, amount int, open_balance int")
+    statement = receivables.account_statement(lines, "c", [("a", "A"), ("b", "B")], {})
+    for table in statement.values():
+        assert [r.project for r in table.collect()] == ["A", "B", None]
+    due = book(spark, *[{"name": "AUTO", "account": "Accounts", "customer": f"AUTO:{p}", "num": p, "amount": 3} for p in ("z", "y")]).withColumn("creation_date", F.col("date"))
+    known = spark.createDataFrame([("z", 1)], "num string, open_balance int")
+    assert [(r.project, r.open_balance) for r in receivables.client_balance(due, known, "AUTO").collect()] == [("y", 3), ("z", 1)]
+
+
+def test_flat_finish_meets_every_price_of_the_list(spark, rows):
+    flat = spark.createDataFrame([("p", "in", "finish", "1", "g", 10.0)], "project string, location string, service string, difficulty string, design string, total_sf double")
+    prices = spark.createDataFrame([("finish", "1", "t1", "g", "k1", Decimal(2)), ("finish", "1", "t2", "g", "k2", Decimal(3))],
+                                   "service string, difficulty string, texture string, design string, thickness string, price decimal(18,2)")
+    got = estimate.flat_finish(flat, prices)
+    assert rows(got, "project", "sqft", "price") == [("Total", 20, None), ("p", 10, Decimal(2)), ("p", 10, Decimal(3))]
