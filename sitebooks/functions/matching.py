@@ -1,7 +1,8 @@
 """Matching rows to clues without a row-by-clue loop or a nested-loop join.
 
-A short list of clues is a caller's parameter and becomes an array expression.  Clues that are data
-meet the texts through an inverted index: every regex needs some literal, every literal has grams of
+A short list of clues is a caller's parameter and becomes an array expression.  Plain texts that are data
+meet the pieces of the texts that have their lengths.  Regexes that are data meet the texts through an
+inverted index: every regex needs some literal, every literal has grams of
 up to ``GRAM`` characters, and a text that fits holds them all.  The rarest gram of a literal meets the
 grams of the distinct texts in an equi join, and only what met is tested with the clue itself.
 """
@@ -13,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest gram of the index.
-GRAM = 3
+from ..session import kept
+
+#: Longest gram of the index.  Longer grams are rarer, and a text has no more of them than of short ones.
+GRAM = 12
 #: Most clues of a table that may lack a literal; these are tested on every distinct text.
 MOST_LOOSE = 200
 
@@ -82,14 +85,21 @@ def _grams(text: Column, size: int | Column) -> Column:
 
 
 def _candidates(distinct: DataFrame, value: str, literals: DataFrame) -> DataFrame:
-    """(value, __clue): texts that hold the rarest gram of a literal (__clue, __literal) of the clue."""
+    """(value, __clue): texts that hold the rarest gram of a literal (__clue, __literal) of the clue.
+
+    The distinct texts are read twice, so they are written first.  Their grams are not: frequent ones would be
+    rows for nothing, as a literal meets texts by its rarest gram only.
+    """
+    distinct = kept(distinct)
     size = F.least(F.length("__literal"), F.lit(GRAM))
     wanted = literals.select("__clue", "__literal", F.explode(_grams(F.col("__literal"), size)).alias("__gram"))
-    # grams of all sizes: a short literal has one gram, itself
-    sizes = F.flatten(F.filter(F.array(*[_grams(F.col(value), q) for q in range(1, GRAM + 1)]), lambda g: g.isNotNull()))
-    index = distinct.select(value, F.explode(sizes).alias("__gram"))
-    index = index.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
-    seen = index.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
+    # a short literal has one gram, itself; as many rows as there are gram sizes, so safe to broadcast
+    sizes = literals.select(size.alias("__size")).distinct()
+    sized = distinct.withColumn("__size", F.explode(F.sequence(F.lit(1), F.least(F.length(value), F.lit(GRAM)))))
+    sized = sized.where(F.length(value) > 0).join(F.broadcast(sizes), "__size", "left_semi")
+    index = sized.select(value, F.explode(_grams(F.col(value), F.col("__size"))).alias("__gram"))
+    asked = index.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
+    seen = asked.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
     # a literal with a gram that no text has fits nothing
     rated = wanted.join(seen, "__gram", "left").groupBy("__clue", "__literal")
     rarest = rated.agg(
@@ -108,13 +118,34 @@ def containing_values(
 ) -> DataFrame:
     """Distinct (value, clue) pairs where the text ``value`` contains the text ``clue``.
 
-    For clues that are data themselves.  Unknown texts and clues, and empty clues, are in no pair.  The work
-    is bounded by the grams of the distinct texts and by the pairs that share the clue's rarest gram.
+    For clues that are data themselves.  Comparing every value with every clue
+    would be a cross product; instead each distinct value is cut into its
+    substrings, only of lengths that some clue has, and the pieces meet the clues
+    in an equi join.  The work per value is bounded by the square of its length,
+    whatever the number of clues.
     """
-    wanted = _texts(clues, clue, "__clue").where("__clue <> ''")
-    distinct = _texts(values, value, value)
-    met = _candidates(distinct, value, wanted.withColumn("__literal", F.col("__clue")))
-    return met.where(F.contains(F.col(value), F.col("__clue"))).select(F.col(value), F.col("__clue").alias(clue))
+    wanted = clues.select(F.col(clue)).where(F.col(clue).isNotNull() & (F.col(clue) != "")).distinct()
+    # as many rows as there are text lengths, so at most the longest clue: safe to broadcast
+    lengths = wanted.select(F.length(clue).alias("__n")).distinct()
+    distinct = values.select(F.col(value)).where(F.col(value).isNotNull()).distinct()
+    sized = distinct.withColumn("__n", F.explode(F.sequence(F.lit(1), F.length(value)))).join(
+        F.broadcast(lengths), "__n", "left_semi"
+    )
+    pieces = sized.select(
+        F.col(value),
+        F.explode(
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.length(value) - F.col("__n") + 1),
+                    lambda i: F.substring(F.col(value), i, F.col("__n")),
+                )
+            )
+        ).alias("__piece"),
+    )
+    wanted = wanted.select(F.col(clue).alias("__clue"))
+    return pieces.join(wanted, pieces["__piece"] == wanted["__clue"]).select(
+        F.col(value), F.col("__clue").alias(clue)
+    )
 
 
 def matching_values(

@@ -57,10 +57,14 @@ class OrderedRows:
         if slices is None:
             cut = cut.checkpoint()
             slices = -(-(cut.agg(F.sum(held)).first()[0] or 1) // SLICE_ROWS)
-        ranged = cut.repartitionByRange(slices, *self.order)
+        whole = slices == 1
+        ranged = cut if whole else cut.repartitionByRange(slices, *self.order)
         if not unique:
             last = F.least(F.col("__n"), F.col(COPY) + (CHUNK - 1))
             ranged = ranged.withColumn(COPY, F.explode(F.sequence(F.col(COPY), last))).drop("__n")
+        if whole:  # one range has no borders that could move
+            self.rows = ranged.withColumn(SLICE, F.lit(0))
+            return
         self.rows = ranged.withColumn(SLICE, F.spark_partition_id()).checkpoint()
 
     def running_total(self, value: str, into: str) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions import (
     sorted_text,
     year_month,
 )
+from ..session import kept
 from .ledger import classified_sums, expense_accounts
 
 # Fixed value: the holding account that is left out of budgets.
@@ -104,8 +105,10 @@ def expense_matrix(
     sums = split.withColumn("sub_account", F.coalesce("sub_account", F.lit(NO_SUB))).where(
         F.col("main_account") != UNSORTED_ACCOUNT
     )
-    months = month_labels(*between) if between is not None else _months_of(sums)
-    return _by_month(sums, months, "main_account", "sub_account")
+    if between is not None:
+        return _by_month(sums, month_labels(*between), "main_account", "sub_account")
+    sums = kept(sums)  # both the range of months and the matrix are taken from them
+    return _by_month(sums, _months_of(sums), "main_account", "sub_account")
 
 
 def _row_sum(columns: Sequence[str]) -> Column:
@@ -155,7 +158,7 @@ def expense_by_month(matrix: DataFrame) -> DataFrame:
 
 def account_zoom(ledger: DataFrame, expense_report: DataFrame) -> DataFrame:
     """Full account by month with the row total, the account split into three levels."""
-    sums = _month_sums(ledger, expense_report).where(nth_piece("account", ":", 0) != UNSORTED_ACCOUNT)
+    sums = kept(_month_sums(ledger, expense_report).where(nth_piece("account", ":", 0) != UNSORTED_ACCOUNT))
     months = _months_of(sums)
     wide = _by_month(sums, months, "account")
     zoomed = wide.withColumn("all_period_sum", _row_sum(months)).orderBy("account", F.desc("all_period_sum"))

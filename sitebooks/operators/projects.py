@@ -23,6 +23,7 @@ from ..functions import (
     total_or_zero,
     with_clues,
 )
+from ..session import kept
 from .ledger import (
     COST_ACCOUNTS,
     DIRECT_LABOR,
@@ -154,9 +155,12 @@ def _of_projects(rows: DataFrame, projects: DataFrame, regex: bool = False) -> D
     Unknown customers belong to no project and stay out of the join.
     """
     names = projects.select(F.col("project_name").alias("clue")).distinct()
-    found = matching_values if regex else containing_values
     known = rows.where(F.col("customer").isNotNull())
-    return known.join(found(known, "customer", names, "clue"), "customer")
+    if regex:
+        pairs = matching_values(known, "customer", kept(names), "clue")
+    else:
+        pairs = containing_values(known, "customer", names, "clue")
+    return known.join(pairs, "customer")
 
 
 def project_cashflow(ledger: DataFrame, projects: DataFrame, regex: bool = False) -> DataFrame:

@@ -28,6 +28,7 @@ from ..functions import (
     total_or_zero,
     with_clues,
 )
+from ..session import kept
 from .ledger import alias_equal, alias_matching, first_hit
 
 # Invoice lines that are income, and receivable accounts.
@@ -338,6 +339,7 @@ def state_by_clue_table(ledger: DataFrame, invoices: DataFrame, clues: DataFrame
     Names and customers are summed before they are matched.  An unknown clue fits nothing.
     """
     wanted = clues.select("clue").distinct()
+    wanted = kept(wanted) if regex else wanted
     found = matching_values if regex else containing_values
     by_name = invoices.where(F.col("name").isNotNull()).groupBy("name").agg(
         total_or_null("amount").alias("amount"), total_or_null("open_balance").alias("open_balance")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # money text parses and dates are compared in one zone everywhere
@@ -43,6 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """An intermediate result that several steps read, written once below the checkpoint folder.
+
+    A table and no ``checkpoint()``: its size is known to the steps that join it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def local_session(app: str = "sitebooks", cpus: str | int = "*", memory: str = "8g") -> SparkSession:
     partitions = str(cpus if str(cpus).isdigit() else os.cpu_count() or 8)
     spark = (
