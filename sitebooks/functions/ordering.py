@@ -57,12 +57,13 @@ class OrderedRows:
         if slices is None:
             cut = cut.checkpoint()
             slices = -(-(cut.agg(F.sum(held)).first()[0] or 1) // SLICE_ROWS)
-        whole = slices == 1
-        ranged = cut if whole else cut.repartitionByRange(slices, *self.order)
+        # one range has no borders: it needs no cut, and nothing is carried over
+        self.whole = slices == 1
+        ranged = cut if self.whole else cut.repartitionByRange(slices, *self.order)
         if not unique:
             last = F.least(F.col("__n"), F.col(COPY) + (CHUNK - 1))
             ranged = ranged.withColumn(COPY, F.explode(F.sequence(F.col(COPY), last))).drop("__n")
-        if whole:  # one range has no borders that could move
+        if self.whole:
             self.rows = ranged.withColumn(SLICE, F.lit(0))
             return
         self.rows = ranged.withColumn(SLICE, F.spark_partition_id()).checkpoint()
@@ -80,6 +81,8 @@ class OrderedRows:
             Window.unboundedPreceding, Window.currentRow
         )
         placed = self.rows.withColumn("__run", F.sum(value).over(within))
+        if self.whole:
+            return placed.select(*self.columns, F.col("__run").alias(into))
         return placed.join(F.broadcast(before), placed[SLICE] == before["__s"]).select(
             *self.columns, (F.col("__before") + F.col("__run")).alias(into)
         )
@@ -92,6 +95,8 @@ class OrderedRows:
             {"__pos": F.row_number().over(within)}
             | {name: F.lag(value, k).over(within) for k, name in enumerate(lags, 1)}
         )
+        if self.whole:
+            return placed.select(*self.columns, *[F.col(name).alias(f"{prefix}{k}") for k, name in enumerate(lags, 1)])
         # the last row of a slice with its own lags is the tail of the slice, nearest first
         tail = F.max_by(F.array(value, *lags[:-1]), "__pos")
         tails = placed.groupBy(SLICE).agg(
