@@ -5,7 +5,8 @@ projected values are one sorted array.  A query looks at the entries inside a wi
 its own projection; virtual rehashing widens all its windows step by step, and only the entries
 that a step adds are counted.  A vector that collides with the query in at least ``THRESHOLD`` of
 the directions is verified: its cosine is computed on the original vectors in double precision.
-A query widens until it has verified ``k`` plus a share ``VERIFIED`` of the block, or everything.
+A query widens until it has verified ``k`` plus a share ``VERIFIED`` of the block (``LEAST_VERIFIED`` vectors
+at least), or everything.
 
 Every row is indexed.  Vectors are dealt into blocks of about ``BLOCK_ROWS`` rows by a hash of
 their id and queries into chunks of ``CHUNK_ROWS``; each (block, chunk) is one bounded task, whose
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, VERIFIED = 256, 0.45, 0.06
+#: Vectors that a query verifies in a block at least: a share of a small block would be too few to hold the nearest.
+LEAST_VERIFIED = 1000
 FIRST_WIDTH, WIDER = 0.55, 1.1
 BLOCK_ROWS, CHUNK_ROWS = 16384, 1024
 
@@ -49,7 +52,8 @@ class CollisionIndex:
         n, projections = len(self.vectors), len(self.order)
         size = np.sqrt((queries * queries).sum(axis=1))
         centres = ((queries / size[:, None]) @ self.directions).T
-        base = np.minimum(n, k + np.array([len(o) for o in own]) + int(np.ceil(VERIFIED * n)))
+        share = max(int(np.ceil(VERIFIED * n)), LEAST_VERIFIED)
+        base = np.minimum(n, k + np.array([len(o) for o in own]) + share)
         counts = np.zeros((len(queries), n), np.int16)
         width, least = FIRST_WIDTH, int(np.ceil(THRESHOLD * projections))
         active, before = np.arange(len(queries)), None
