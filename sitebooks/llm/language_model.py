@@ -13,8 +13,9 @@ score of class w is (r1 C1 + r2 C2) q_w + b_w.
   learns from every position of all its training texts against noise drawn from the class counts,
   and sends its parameters; the averages, weighted by positions, start the next round.
 * Scoring needs no sampling: since the score is a sum of one term per context word, the
-  normalisers of all contexts are one matrix product, and a token's log-probability is the sum of
-  its terms less the normaliser of its context.  All probabilities of a context add up to one.
+  normalisers of all contexts are one matrix product, and a token's log-probability is the product of
+  its vectors less the normaliser of its context.  All probabilities of a context add up to one.
+  The normalisers are a table of classes by classes, which every worker gets.
 
 Word counts are looked up in the ``LISTED`` most frequent words at each task (a bounded broadcast);
 all other words of a text are joined to the counts by their hash.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ WORDS, GROWTH, LISTED, SIZE = 1021, 4, 1 << 19, 32
 ROUNDS, BATCH, NOISE, RATE = 2, 4096, 48, 0.02
 #: Parts that the parameters of all tasks are summed in before they meet.
 PARTS = 16
+#: Rows of a block of normalisers, and tokens that are scored together.
+NORM_ROWS, SCORE_ROWS = 256, 1 << 15
 
 
 @dataclass
@@ -227,14 +231,46 @@ class LogBilinear:
                 p[name] += np.float32(RATE) * g / np.sqrt(sums[name] + np.float32(1e-8))
         self.p = {name: v.astype(np.float64) for name, v in p.items()}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 terms of the word before and the word before that, and normalisers by both."""
+    def tables(self) -> "Tables":
+        """What scoring needs: the vectors of the two words before, and the normaliser of each such pair.
+
+        The normalisers are one matrix product, made by blocks of rows: besides their own table one more of
+        that size is held, whatever the block.
+        """
         p = self.p
-        first = p["context"] @ p["first"] @ p["output"].T + p["bias"]
-        second = p["context"] @ p["second"] @ p["output"].T
-        top1, top2 = first.max(axis=1), second.max(axis=1)
-        norm = np.log(np.exp(first - top1[:, None]) @ np.exp(second - top2[:, None]).T) + top1[:, None] + top2
-        return tuple((t / np.log(10)).astype(np.float32) for t in (first, second, norm))
+        one, two = p["context"] @ p["first"], p["context"] @ p["second"]
+        late = two @ p["output"].T
+        top2 = late.max(axis=1)
+        late -= top2[:, None]
+        np.exp(late, out=late)
+        norm = np.empty((len(one), len(two)), np.float32)
+        for begin in range(0, len(one), NORM_ROWS):
+            rows = slice(begin, begin + NORM_ROWS)
+            early = one[rows] @ p["output"].T + p["bias"]
+            top1 = early.max(axis=1)
+            early -= top1[:, None]
+            np.exp(early, out=early)
+            norm[rows] = (np.log(early @ late.T) + top1[:, None] + top2) / np.log(10)
+        return Tables(*(x.astype(np.float32) for x in (one, two, p["output"], p["bias"])), norm)
+
+
+class Tables(NamedTuple):
+    """Vectors of the word before and the word before that, output vectors and biases; normalisers (log10)."""
+
+    one: np.ndarray
+    two: np.ndarray
+    output: np.ndarray
+    bias: np.ndarray
+    norm: np.ndarray
+
+    def log_chance(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 probability of each class after the two classes before it."""
+        out = np.empty(len(target))
+        for begin in range(0, len(target), SCORE_ROWS):
+            a, b, w = (x[begin : begin + SCORE_ROWS] for x in (one, two, target))
+            terms = np.einsum("ij,ij->i", self.one[a] + self.two[b], self.output[w]) + self.bias[w]
+            out[begin : begin + SCORE_ROWS] = terms / np.log(10) - self.norm[a, b]
+        return out
 
 
 def _sequences(data: np.ndarray, offsets: np.ndarray, v: Vocabulary):
@@ -298,18 +334,17 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     train = rows.where("not held_out")
     counts = staged(word_counts(train))
     v = vocabulary(counts, train.count())
-    tables = trained(train, v).tables()
-    shared = spark.sparkContext.broadcast((v, tables))
+    shared = spark.sparkContext.broadcast((v, trained(train, v).tables()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (first, second, norm) = shared.value
+        v, tables = shared.value
         key = TaskContext.get().partitionId() << 33
         log_base, log_shares = v.log_base(), v.log_shares()
         for batch in batches:
             parts: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "score", "tail")}
             for _, _, data, offsets in text_steps(batch, "text"):
                 target, one, two, begins, bounds, word_at, hashes, listed, count = _sequences(data, offsets, v)
-                model = (first[one, target] + second[two, target] - norm[one, two]).astype(np.float64)
+                model = tables.log_chance(one, two, target)
                 base = np.full(len(target), np.log10(v.ends + 1) - log_base)
                 known = np.full(len(target), v.ends > 0)
                 log_count = np.log10(count + 1.0)  # 0 where the count is joined later
