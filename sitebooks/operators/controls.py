@@ -35,7 +35,7 @@ MATERIAL_SHARE = (
 # Fixed value: cost of one logged hour.
 HOUR_RATE = 21
 RATE = "decimal(4,2)"
-COMPLETION = "decimal(18,10)"
+COMPLETION = "decimal(20,18)"
 
 
 def _in_open(df: DataFrame, open_projects: DataFrame) -> DataFrame:
@@ -300,6 +300,12 @@ def time_log_start(time_logs: DataFrame, project: str) -> DataFrame:
     return time_logs.where(matches("project_name", project)).orderBy(F.asc_nulls_last("task_date"))
 
 
+def project_services(export: DataFrame) -> DataFrame:
+    """The services of each project with their number of rows, one row per service."""
+    named = export.select(F.trim("project").alias("project"), F.trim("servicio").alias("servicio"))
+    return named.groupBy("project", "servicio").agg(F.count(F.lit(1)).alias("n"))
+
+
 def project_rollup(export: DataFrame) -> DataFrame:
     """One row per project: sums, service list, mean completion of at most one.
 

@@ -17,6 +17,7 @@ from ..functions import (
     nth_piece,
     separate,
     sorted_text,
+    total_or_zero,
     year_month,
 )
 from ..session import kept
@@ -73,20 +74,37 @@ def _by_month(sums: DataFrame, months: Sequence[str], *keys: str) -> DataFrame:
     return wide.fillna(0, list(months)) if months else wide.select(*keys)
 
 
-def account_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
-    """Sorted vendor list per main and sub account, with the number of vendors.
+def vendor_months(ledger: DataFrame) -> DataFrame:
+    """The ledger summed per month, account and name, with the last day of each: written once.
 
-    Vendors are made distinct before they are listed, so the state of a list is
-    its own result and not the rows behind it.  The number of vendors is the
-    number of commas plus one, a comma inside a name included.
+    Month sums and vendor lists need no more, so a budget reads the ledger one time.
     """
+    sums = ledger.groupBy(year_month("date").alias("__month"), "account", "name").agg(
+        F.max("date").alias("date"), total_or_zero("amount").alias("amount")
+    )
+    return kept(sums.drop("__month"))
+
+
+def account_vendor_names(expenses: DataFrame, since: dt.date | str) -> DataFrame:
+    """The vendors of each main and sub account since a day, one row per vendor."""
     pairs = (
         expenses.where((F.col("date") >= F.lit(since).cast("date")) & (F.col("account") != UNSORTED_ACCOUNT))
         .select("account", F.coalesce("name", F.lit("-")).alias("name"))
         .distinct()
     )
     split = separate(pairs, "account", ["main_account", "sub_account"])
-    named = split.withColumn("sub_account", F.coalesce("sub_account", "main_account")).distinct()
+    return split.withColumn("sub_account", F.coalesce("sub_account", "main_account")).distinct()
+
+
+def account_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
+    """Sorted vendor list per main and sub account, with the number of vendors.
+
+    Vendors are made distinct before they are listed, so the state of a list is
+    its own result and not the rows behind it; where even that is too long for one text, take
+    :func:`account_vendor_names`.  The number of vendors is the number of commas plus one, a comma inside
+    a name included.
+    """
+    named = account_vendor_names(expenses, since)
     commas = F.sum(F.regexp_count("name", F.lit(",")))
     return named.groupBy("main_account", "sub_account").agg(
         sorted_text("name").alias("vendor"), (commas + F.count("name")).alias("number_vendors")
@@ -178,6 +196,8 @@ def new_vendors(expenses: DataFrame, since: dt.date | str) -> DataFrame:
     initial = F.add_months(first_of_month, -1)
     window_end = F.add_months(last_day_of_previous_month("date"), 1)
     known = expenses.where(F.col("name").isNotNull() & F.col("account").isNotNull())
+    # rows and first days are taken from the distinct lines, so the ledger is read once
+    known = kept(known.select("date", "type", "name", "account", "amount").distinct())
     rows = (
         known.where((F.col("date") <= window_end) & (initial >= F.lit(since).cast("date")))
         .select("date", "type", "name", "account", "amount")

@@ -359,6 +359,14 @@ def project_rollup(t: Tables):
     return C.project_rollup(t.view("project_control_export"))
 
 
+@query(
+    "project_services",
+    "select trim(project) as project, trim(servicio) as servicio, count(*) as n from project_control_export group by 1, 2",
+)
+def project_services(t: Tables):
+    return C.project_services(t.view("project_control_export"))
+
+
 STEPS["payroll_steps"] = f"""
 select *, lower(trim(substr(replace(memo, 'ACH DEBIT ', ''), 1, 8))) as text from payroll_ledger
 where regexp_matches(name, '{VENDOR}') and amount > 0 and date between '{PAY_WINDOW[0]}' and '{PAY_WINDOW[1]}'

@@ -51,8 +51,14 @@ def account_vendors(t: Tables):
     return X.account_vendors(rows, SINCE)
 
 
-def _matrix(t: Tables, between=None):
-    return X.expense_matrix(t.ledger("date", "account", "amount"), t.view("expense_report"), between)
+@query("account_vendor_names", "select * from vendor_names")
+def account_vendor_names(t: Tables):
+    rows = X.expense_rows(t.ledger("date", "account", "name", "amount"), t.view("expense_report"))
+    return X.account_vendor_names(rows, SINCE)
+
+
+def _matrix(t: Tables):
+    return X.expense_matrix(t.ledger("date", "account", "amount"), t.view("expense_report"))
 
 
 @query("expense_matrix", "select * from matrix")
@@ -68,9 +74,10 @@ def expense_matrix(t: Tables):
       where {_ZEROS} < 3 and {' + '.join(_OBSERVED)} + {_ZEROS} >= 100) and sub_account <> 'Fuel'""",
 )
 def expense_budget(t: Tables):
-    rows = X.expense_rows(t.ledger("date", "account", "name", "amount"), t.view("expense_report"))
-    matrix = _matrix(t, (dt.date(AS_OF.year - 1, 1, 1), AS_OF))
-    return X.expense_budget(matrix, X.account_vendors(rows, SINCE), AS_OF, without=WITHOUT)
+    months, report = X.vendor_months(t.ledger("date", "account", "name", "amount")), t.view("expense_report")
+    matrix = X.expense_matrix(months, report, (dt.date(AS_OF.year - 1, 1, 1), AS_OF))
+    vendors = X.account_vendors(X.expense_rows(months, report), SINCE)
+    return X.expense_budget(matrix, vendors, AS_OF, without=WITHOUT)
 
 
 @query(

@@ -404,3 +404,24 @@ def test_flat_finish_meets_every_price_of_the_list(spark, rows):
                                    "service string, difficulty string, texture string, design string, thickness string, price decimal(18,2)")
     got = estimate.flat_finish(flat, prices)
     assert rows(got, "project", "sqft", "price") == [("Total", 20, None), ("p", 10, Decimal(2)), ("p", 10, Decimal(3))]
+
+
+def test_budget_from_month_sums_equals_the_ledger(spark, rows):
+    """Vendors since a day inside a month, unknown names and amounts, copies: all survive the sums per month."""
+    lines = [{"date": D(2001, m, d), "account": a, "name": n, "amount": x}
+             for m, d, a, n, x in ((3, 1, "Office:Paper", "early", 5), (3, 20, "Office:Paper", "late", 7), (3, 20, "Office:Paper", "late", 7),
+                                   (4, 2, "Office:Paper", None, 9), (3, 9, "Office:Paper", "late", None), (5, 5, "Undeposited", "x", 1))]
+    book_rows, accounts = book(spark, *lines), report(spark, "Office:Paper")
+    months = expenses.vendor_months(book_rows)
+    assert months.count() == 4
+    since = D(2001, 3, 10)
+    direct = expenses.account_vendors(expenses.expense_rows(book_rows, accounts), since)
+    assert rows(expenses.account_vendors(expenses.expense_rows(months, accounts), since)) == rows(direct)
+    assert rows(expenses.expense_matrix(months, accounts)) == rows(expenses.expense_matrix(book_rows, accounts))
+    names = expenses.account_vendor_names(expenses.expense_rows(book_rows, accounts), since)
+    assert rows(names) == [("Office", "Paper", "-"), ("Office", "Paper", "late")]
+
+
+def test_services_of_projects_as_rows(spark, rows):
+    export = spark.createDataFrame([(" a", "x "), ("a", "x"), ("a", None), (None, "y")], "project string, servicio string")
+    assert rows(controls.project_services(export)) == [("a", "x", 2), ("a", None, 1), (None, "y", 1)]
