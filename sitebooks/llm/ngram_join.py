@@ -4,7 +4,9 @@ Two sets of sizes n <= m with Jaccard similarity of at least s overlap in at lea
 Under one order of all tokens (rare first) they therefore meet within their first
 ``n - ceil(s * n) + 1`` tokens, and meet twice within one token more.  So
 
-1. a sketch of fixed size counts all shingles of all texts; it gives the rare-first order;
+1. counters, at least one for each byte of text, count all shingles of all texts and give the rare-first order.
+   Texts are dealt to chunks of some MB; a chunk sends its counters once to the tasks that add them up,
+   block by block, and gets back those that are above one, so no task and no broadcast holds them all;
 2. every distinct set posts its prefix tokens; only tokens posted twice matter;
 3. centres: in each bucket (token, size class) the set with the fewest rarer tokens is compared with
    the rest, so copies meet a representative and not each other;
@@ -25,18 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import (
-    SKETCH_BITS,
     components,
     fresh,
-    merged_sketch,
     mixed,
     only_listed,
     shingle_hashes,
-    sketch_blocks,
     small_batches,
     span_hashes,
     staged,
@@ -46,6 +47,10 @@ from .shared import (
 
 #: Components in a bucket above which its token counts as frequent and is combined.
 FREQUENT = 32
+#: Members of a bucket above which they are spread over several tasks.
+HOT = 10_000
+#: Bytes of text in a chunk (a longer text is a chunk of its own), and counters in a block as a power of two.
+CHUNK_BYTES, BLOCK_BITS = 8 << 20, 22
 _WORDS = 16  # 64-bit words of a parity bitmap
 
 
@@ -71,24 +76,111 @@ def _keyed(docs: DataFrame, key: str) -> DataFrame:
     return both.select(*docs.columns, F.when(hashed, mixed_key).otherwise(own).alias(key))
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+def _chunked(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, doc_id, text) with the number of a chunk and the bytes of the text, written once.
+
+    A chunk is a run of rows of one task, whatever their ids, so repeated rows do not gather.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for hashes in _sets(batch, k):
-                np.add.at(counts, hashes >> np.uint64(64 - SKETCH_BITS), 1)
-        yield from sketch_blocks(counts)
+            size = pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64())
+            chunks = []
+            for more in size.to_pylist():
+                if filled and filled + more > CHUNK_BYTES:
+                    chunk, filled = chunk + 1, 0
+                filled += more
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, size, pa.array(chunks, pa.int64())], [*batch.schema.names, "bytes", "chunk"])
 
-    return merged_sketch(docs.select("text").mapInArrow(count, "block int, counts binary"))
+    rows = docs.select("id", "doc_id", "text").mapInArrow(number, "id bigint, doc_id bigint, text string, bytes bigint, chunk bigint")
+    return staged(rows)
 
 
-def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: set size, set digest, parity bitmap and the rare-first prefix, one token longer than needed."""
-    levels = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 as steps, bytes of one weight together, which shuffles compress."""
+    return np.diff(numbers.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def _counted(chunked: DataFrame, k: int, bits: int) -> DataFrame:
+    """Per chunk and block the counters that the chunk uses: their places in the block and its own counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            places, counts = np.unique(np.concatenate(held), return_counts=True)
+            blocks = (places >> np.uint64(BLOCK_BITS)).astype(np.int32)
+            names, first = np.unique(blocks, return_index=True)
+            own = (places & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
+            for name, begin, end in zip(names.tolist(), first, [*first[1:], len(places)], strict=True):
+                fields = [[name], [current], [_packed(own[begin:end])], [np.minimum(counts[begin:end], 255).astype(np.uint8).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types, strict=True)], ["block", "chunk", "places", "counts"])
+
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        held, current = [], None
         for batch in batches:
-            size, one, two, bits, prefix = [], [], [], [], []
+            for chunk, hashes in zip(batch.column(1).to_pylist(), _sets(batch, k), strict=True):
+                if chunk != current:
+                    if held:
+                        yield from sent()
+                    held, current = [], chunk
+                if len(hashes):
+                    held.append(hashes >> np.uint64(64 - bits))
+        if held:
+            yield from sent()
+
+    return chunked.select("text", "chunk").mapInArrow(count, "block int, chunk bigint, places binary, counts binary")
+
+
+def _levels(counted: DataFrame) -> DataFrame:
+    """Per chunk and block the counters above one with their level, about 4 log2 of the count."""
+
+    def add(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << BLOCK_BITS, np.uint32)
+        lists = list(zip(sent.column("places").to_pylist(), sent.column("counts").to_pylist(), strict=True))
+        for places, counts in lists:
+            sums[_unpacked(places)] += np.frombuffer(counts, np.uint8)
+        level = np.minimum(np.ceil(4 * np.log2(1.0 + sums)), 255).astype(np.uint8)
+        back, levels = [], []
+        for places, _ in lists:
+            own = _unpacked(places)
+            own = own[sums[own] > 1]
+            back.append(_packed(own))
+            levels.append(level[own].tobytes())
+        fields = [sent.column("chunk"), sent.column("block"), pa.array(back, pa.binary()), pa.array(levels, pa.binary())]
+        return pa.table(fields, ["chunk", "block", "places", "levels"])
+
+    return counted.groupBy("block").applyInArrow(add, "chunk bigint, block int, places binary, levels binary")
+
+
+#: The level of a token that is counted once.
+_ONCE = 4
+
+
+def _profiles(chunked: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row: set size, set digest, parity bitmap and the rare-first prefix, one token longer than needed."""
+    total = chunked.agg(F.sum("bytes")).first()[0] or 0
+    bits = BLOCK_BITS + max(-(-total >> BLOCK_BITS), 1).bit_length()
+    levels = _levels(_counted(chunked, k, bits))
+
+    def profile(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = {}
+        for block, places, own in zip(*(right.column(c).to_pylist() for c in ("block", "places", "levels")), strict=True):
+            lists.setdefault(block, []).append((_unpacked(places), np.frombuffer(own, np.uint8)))
+        known, level_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for block in sorted(lists):
+            # a chunk read by two tasks sends two lists for a block
+            places, first = np.unique(np.concatenate([p for p, _ in lists[block]]), return_index=True)
+            known.append(places.astype(np.uint64) | np.uint64(block << BLOCK_BITS))
+            level_of.append(np.concatenate([v for _, v in lists[block]])[first].astype(np.uint64))
+        known, level_of = np.concatenate(known), np.concatenate(level_of)
+        size, one, two, parities, prefix = [], [], [], [], []
+        for batch in left.to_batches():
             for hashes in _sets(batch, k):
                 own = np.unique(hashes)
                 n = len(own)
@@ -96,26 +188,31 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 one.append(own.sum(dtype=np.uint64).astype(np.int64))
                 two.append(mixed(own).sum(dtype=np.uint64).astype(np.int64))
                 parity = np.bincount((own & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
-                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-                level = levels.value[own >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+                parities.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                level = np.full(n, _ONCE, np.uint64)
+                if len(known):
+                    places = own >> np.uint64(64 - bits)
+                    at = np.minimum(np.searchsorted(known, places), len(known) - 1)
+                    level = np.where(known[at] == places, level_of[at], level)
                 order = (level << np.uint64(56)) | (own & np.uint64((1 << 56) - 1))
                 need = min(n, n - -(-percent * n // 100) + 2)
                 order = np.partition(order, need - 1)[:need] if need < n else order
                 prefix.append(np.sort(order).view(np.int64))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": batch.column(0),
-                    "doc_id": batch.column(1),
-                    "n": pa.array(size, pa.int64()),
-                    "one": pa.array(one, pa.int64()),
-                    "two": pa.array(two, pa.int64()),
-                    "bits": pa.array(bits, pa.list_(pa.int64())),
-                    "prefix": pa.array(prefix, pa.list_(pa.int64())),
-                }
-            )
+        return pa.table(
+            {
+                "id": left.column("id"),
+                "doc_id": left.column("doc_id"),
+                "n": pa.array(size, pa.int64()),
+                "one": pa.array(one, pa.int64()),
+                "two": pa.array(two, pa.int64()),
+                "bits": pa.array(parities, pa.list_(pa.int64())),
+                "prefix": pa.array(prefix, pa.list_(pa.int64())),
+            }
+        )
 
     schema = "id bigint, doc_id bigint, n bigint, one bigint, two bigint, bits array<bigint>, prefix array<bigint>"
-    return docs.select("id", "doc_id", "text").mapInArrow(profile, schema)
+    texts = chunked.select("id", "doc_id", "text", "chunk").groupBy("chunk")
+    return texts.cogroup(levels.groupBy("chunk")).applyInArrow(profile, schema)
 
 
 def _may_link(n: Column, m: Column, shared: Column, percent: int) -> Column:
@@ -132,7 +229,7 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.k, self.percent = k, percent
         """``docs``: id (the key), doc_id, text."""
-        self.docs = docs
+        self.docs = _chunked(docs)
         self.rows = staged(_profiles(self.docs, k, percent))
         sets = self.rows.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
         self.member = staged(self.rows.select("id", "n", "one", "two").join(sets, ["n", "one", "two"]).select("id", "rep"))
@@ -190,9 +287,14 @@ class _Join:
         step = float(np.log(100 / self.percent)) if self.percent < 100 else 1.0
         sized = placed.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
         pick = F.struct(F.col("pos").alias("pos_b"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-        centres = sized.groupBy("token", "size").agg(F.min(pick).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        centres = centres.where("lo < hi").select("token", "size", "c.*")
-        met = sized.join(centres, ["token", "size"]).where("id <> b")
+        centres = sized.groupBy("token", "size").agg(F.min(pick).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("members"))
+        centres = staged(centres.where("lo < hi").withColumn("salts", F.floor(F.col("members") / HOT) + 1))
+        # members of a hot bucket are dealt by id, and its centre goes wherever they are
+        hot = centres.where("salts > 1").select("token", "size", "salts")
+        sized = sized.join(hot, ["token", "size"], "left")
+        sized = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+        centres = centres.select("token", "size", "c.*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+        met = sized.join(centres, ["token", "size", "salt"]).where("id <> b")
         return self.bounded(met.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "b", "n_b", "pos_b"))
 
     def remaining_pairs(self, placed: DataFrame) -> DataFrame:

@@ -208,6 +208,38 @@ def test_ngram_join_of_the_tables(spark):
     assert got == linked_components({i: shingle_set(t) for i, t in real_texts(spark).items()})
 
 
+def test_ngram_join_in_many_chunks_and_blocks(spark, monkeypatch):
+    """Small chunks, blocks and hot buckets: same result, and counts that tell rare from shared at any size."""
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(ngram_join, "BLOCK_BITS", 8)
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    rng = np.random.default_rng(8)
+    passages = [[f"p{i}x{j}" for j in range(12)] for i in range(8)]
+    rows, at = [], 0
+    for size in (200, 1000):
+        while len(rows) < size:
+            own = [f"d{at}w{j}" for j in range(50)]
+            at += 1
+            rows.append((len(rows), " ".join(own[:25] + passages[rng.integers(8)] + own[25:])))
+            if at % 10 == 0:
+                rows.append((len(rows), " ".join(own[:25] + passages[rng.integers(8)] + [*own[25:-1], "end"])))
+        rows += [rows[3]] * 30  # a repeated row
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        join = ngram_join._Join(ngram_join._keyed(docs, "id"), 3, 90)
+        chunks = join.docs.groupBy("chunk").agg({"bytes": "sum"}).collect()
+        assert len(chunks) > size / 6 and max(r[1] for r in chunks) <= 2000
+        # only near copies share rare tokens: their number does not depend on how many others there are
+        assert join.shared.select("id").distinct().count() < 0.35 * size
+    got = by_id(ngram_join.ngram_components(docs), "n_shingles", "component_id")
+    assert got == linked_components({i: shingle_set(t) for i, t in rows})
+
+
+def test_packed_numbers_are_read_back():
+    for numbers in ([], [0], [5, 6, 2**22 - 1], sorted(np.random.default_rng(1).choice(2**22, 5000, replace=False).tolist())):
+        own = np.array(numbers, np.uint32)
+        assert ngram_join._unpacked(ngram_join._packed(own)).tolist() == numbers
+
+
 # -- 3 ------------------------------------------------------------------------
 
 
