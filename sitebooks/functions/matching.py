@@ -88,7 +88,9 @@ def _candidates(distinct: DataFrame, value: str, literals: DataFrame) -> DataFra
     """(value, __clue): texts that hold the rarest gram of a literal (__clue, __literal) of the clue.
 
     The distinct texts are read twice, so they are written first.  Their grams are not: frequent ones would be
-    rows for nothing, as a literal meets texts by its rarest gram only.
+    rows for nothing, as a literal meets texts by its rarest gram only.  A clue table has many more grams than its
+    size lets Spark expect, and the rows of an exploded table are not counted before a broadcast: joins with grams
+    and clues are merge joins, so that the driver never holds them.
     """
     distinct = kept(distinct)
     size = F.least(F.length("__literal"), F.lit(GRAM))
@@ -98,15 +100,15 @@ def _candidates(distinct: DataFrame, value: str, literals: DataFrame) -> DataFra
     sized = distinct.withColumn("__size", F.explode(F.sequence(F.lit(1), F.least(F.length(value), F.lit(GRAM)))))
     sized = sized.where(F.length(value) > 0).join(F.broadcast(sizes), "__size", "left_semi")
     index = sized.select(value, F.explode(_grams(F.col(value), F.col("__size"))).alias("__gram"))
-    asked = index.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
+    asked = index.join(wanted.select("__gram").distinct().hint("merge"), "__gram", "left_semi")
     seen = asked.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
     # a literal with a gram that no text has fits nothing
-    rated = wanted.join(seen, "__gram", "left").groupBy("__clue", "__literal")
+    rated = wanted.join(seen.hint("merge"), "__gram", "left").groupBy("__clue", "__literal")
     rarest = rated.agg(
         F.count_if(F.col("__texts").isNull()).alias("__missing"), F.min(F.struct("__texts", "__gram")).alias("__rare")
     )
     chosen = rarest.where("__missing = 0").select("__clue", F.col("__rare.__gram").alias("__gram")).distinct()
-    return index.join(chosen, "__gram").select(value, "__clue")
+    return index.join(chosen.hint("merge"), "__gram").select(value, "__clue")
 
 
 def _texts(df: DataFrame, column: str, name: str) -> DataFrame:
