@@ -34,3 +34,24 @@ def test_grams_of_a_clue_table_are_not_broadcast(spark, first_plan):
     assert {tuple(r) for r in pairs.collect()} == {
         ("Customer 12:BUILD", "^Customer 12[:]B.+"), ("Customer 7:AUTO", "none|AUTO$")
     }
+
+
+def test_customers_meet_orders_and_parts_meet_lines_first(spark, first_plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = sources.ledger(spark, "/root/testdata/sf0.001", "date", "name", "customer", "account", "amount")
+    lines = plan_of(rows.where("account like '%Labor%'")).splitlines()
+
+    def below(key):
+        at = next(i for i, x in enumerate(lines) if f"Exchange hashpartitioning({key}" in x)
+        depth = lines[at].index("Exchange")
+        inner = []
+        for x in lines[at + 1 :]:
+            if not x[: depth + 1].strip(" :+-|") == "":
+                break
+            inner.append(x)
+        return "\n".join(inner)
+
+    assert "o_orderdate" in below("o_custkey") or "o_orderkey" in below("o_custkey")
+    assert "l_orderkey" not in below("o_custkey")
+    # the filter on accounts is below the shuffle by orders, and prices are money there
+    assert "Labor" in below("l_orderkey") and "p_partkey" in below("l_orderkey")
