@@ -21,7 +21,7 @@ from .columns import (
     tidy_text,
     year_month,
 )
-from .frames import append_total, append_total_to_rows, joined, repeated_text, sorted_text
+from .frames import append_total, append_total_to_rows, in_changed_parts, joined, repeated_text, sorted_text
 from .intervals import in_windows
 from .ordering import OrderedRows
 from .quantiles import quantiles
@@ -37,6 +37,7 @@ __all__ = [
     "drop_first_match",
     "first_day_of_month",
     "if_known",
+    "in_changed_parts",
     "in_windows",
     "joined",
     "last_day_of_previous_month",

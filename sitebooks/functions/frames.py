@@ -42,6 +42,31 @@ def joined(
     return result.drop(*aside.values())
 
 
+def in_changed_parts(
+    new: DataFrame, old: DataFrame, part: str, columns: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of both tables in the parts in which ``columns`` are not the same bag of rows.
+
+    ``part`` is a column of few values (a day, a month), unknown is a part of its own.  A part is summed up as its
+    number of rows and two sums of 64-bit hashes, apart for each table; only these lines are shuffled.  The names of
+    the parts that differ are one row each and go to every task.
+    """
+
+    def lines(df: DataFrame, name: str) -> DataFrame:
+        # hashes skip unknown values, so which values are unknown is hashed too
+        nested = [c for c in columns if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType))]
+        values = [F.to_json(c, {"ignoreNullFields": "false"}) if c in nested else F.col(c) for c in columns]
+        row = [F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns]), *values]
+        sums = [F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(20,0)")) for seed in (1, 2)]
+        return df.groupBy(F.col(part).alias("__part")).agg(F.struct(F.count(F.lit(1)), *sums).alias(name))
+
+    a, b = lines(new, "__a"), lines(old, "__b")
+    both = joined(a, b, ["__part"], "full_outer")
+    changed = F.broadcast(both.where(~F.col("__a").eqNullSafe(F.col("__b"))).select("__part"))
+    same = F.col(part).eqNullSafe(F.col("__part"))
+    return new.join(changed, same, "left_semi"), old.join(changed, same, "left_semi")
+
+
 def _total_row(df: DataFrame, label: str, by: Sequence[str], filler: str) -> list[Column]:
     """What a total row shows in each column; sums are expected under the columns' own names."""
     row = []

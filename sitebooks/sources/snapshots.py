@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import in_changed_parts
+
 ROWS, DIGESTS, PARTS, SHAPE = "rows", "digests", "parts", "shape"
 _DAY, _PART = "snapshot_date", "snapshot_part"
 
@@ -88,10 +90,14 @@ def snapshot_changes(spark: SparkSession, path: str, old: dt.date, new: dt.date)
     return found.join(changed, "digest").drop("digest")
 
 
-def bag_delta(new: DataFrame, old: DataFrame) -> DataFrame:
+def bag_delta(new: DataFrame, old: DataFrame, part: str | None = None) -> DataFrame:
     """As :func:`snapshot_changes`, of two tables with the same columns that are not stored with digests.
 
-    Copies count: what ``EXCEPT ALL`` gives both ways, with the numbers of copies.
+    Copies count: what ``EXCEPT ALL`` gives both ways, with the numbers of copies.  With ``part``, a column of few
+    values such as a day, rows of parts that are the same bag in both tables are left out before the shuffle;
+    both tables are then read twice.
     """
+    if part is not None:
+        new, old = in_changed_parts(new, old, part, new.columns)
     signed = new.withColumn("copies", F.lit(1)).unionByName(old.withColumn("copies", F.lit(-1)))
     return signed.groupBy(*new.columns).agg(F.sum("copies").alias("copies")).where("copies <> 0")

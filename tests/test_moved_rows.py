@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitebooks import sources
-from sitebooks.functions import matching_values
+from sitebooks.functions import in_changed_parts, matching_values
 from sitebooks.operators import expenses, projects, receivables, reconcile
 
 D1, D2, D3 = (dt.date(2021, 1, d) for d in (1, 2, 3))
@@ -55,3 +55,21 @@ def test_customers_meet_orders_and_parts_meet_lines_first(spark, first_plan):
     assert "l_orderkey" not in below("o_custkey")
     # the filter on accounts is below the shuffle by orders, and prices are money there
     assert "Labor" in below("l_orderkey") and "p_partkey" in below("l_orderkey")
+
+
+def test_parts_that_did_not_change_are_not_compared(spark):
+    columns = "date date, name string, memo string, amount int"
+    old = [(D1, "a", None, 1)] * 2 + [(D2, "b", None, 2), (D2, None, "b", 3), (None, "c", "d", 4), (D3, "gone", "x", 5)]
+    # D2: an unknown value changed places; D1 and the unknown day stay
+    new = [(D1, "a", None, 1)] * 2 + [(D2, None, "b", 2), (D2, None, "b", 3), (None, "c", "d", 4)]
+    a, b = spark.createDataFrame(new, columns), spark.createDataFrame(old, columns)
+    now, before = in_changed_parts(a, b, "date", a.columns)
+    assert {r.date for r in now.collect()} == {D2} and {r.date for r in before.collect()} == {D2, D3}
+    whole = sorted(map(tuple, sources.bag_delta(a, b).collect()), key=repr)
+    assert sorted(map(tuple, sources.bag_delta(a, b, part="date").collect()), key=repr) == whole and len(whole) == 3
+    # copies count in a bag
+    more = a.union(a.limit(1))
+    assert [r.copies for r in sources.bag_delta(more, a, part="date").collect()] == [1]
+    # an unknown day is a part of its own
+    none = a.where("date is null").withColumn("amount", F.lit(9))
+    assert sources.bag_delta(none, a.where("date is null"), part="date").count() == 2
