@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import receivables as R
+from ..session import kept
 from ..sources import bag_delta
 from .registry import AS_OF, STEPS, Tables, query
 
@@ -106,8 +107,8 @@ def missing_open_invoices(t: Tables):
       and o.name is not distinct from l.name and o.amount is not distinct from l.amount)""",
 )
 def snapshot_delta(t: Tables):
-    new = t.ledger("date", "type", "num", "name", "account", "amount")
-    return R.snapshot_delta(new, new.where("date < '2001-10-01'"))
+    new = kept(t.ledger("date", "type", "num", "name", "account", "amount"))
+    return R.snapshot_delta(new, new.where("date < '2001-10-01'"), part="date")
 
 
 @query(
@@ -121,10 +122,10 @@ def snapshot_delta(t: Tables):
 )
 def snapshot_bag_delta(t: Tables):
     """The old extract has the earlier months, its February rows a day later."""
-    new = t.ledger("date", "type", "name", "account", "amount")
+    new = kept(t.ledger("date", "type", "name", "account", "amount"))
     moved = F.date_add("date", F.when(F.month("date") == 2, 1).otherwise(0))
     old = new.where("date < '2001-10-01'").withColumn("date", moved)
-    return bag_delta(new, old)
+    return bag_delta(new, old, part="date")
 
 
 @query("invoice_lines_open", "select * replace (amount::double as amount, open_balance::double as open_balance) from open_lines")

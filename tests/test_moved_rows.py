@@ -73,3 +73,15 @@ def test_parts_that_did_not_change_are_not_compared(spark):
     # an unknown day is a part of its own
     none = a.where("date is null").withColumn("amount", F.lit(9))
     assert sources.bag_delta(none, a.where("date is null"), part="date").count() == 2
+
+
+def test_rows_of_a_snapshot_with_parts(spark):
+    columns = "date date, name string, amount int, memo string"
+    new = spark.createDataFrame([(D1, "a", 1, "x"), (D1, "a", 1, "y"), (D2, None, 2, "z"), (D2, "n", 2, "z"), (None, "u", 1, "-")], columns)
+    old = spark.createDataFrame([(D1, "a", 1, "q"), (D2, None, 2, "z"), (D3, "n", 2, "z")], columns)
+    plain = sorted(map(tuple, receivables.snapshot_delta(new, old).collect()), key=repr)
+    assert plain == sorted([(D2, "n", 2, "z"), (None, "u", 1, "-")], key=repr)
+    assert sorted(map(tuple, receivables.snapshot_delta(new, old, part="date").collect()), key=repr) == plain
+    assert receivables.snapshot_delta(new, new, part="date").count() == 0
+    with pytest.raises(ValueError, match="memo"):
+        receivables.snapshot_delta(new, old, part="memo")
