@@ -140,9 +140,13 @@ def recent_volume(ledger: DataFrame, as_of: dt.date, days: int = 10) -> DataFram
 
 
 def _directed(rows: DataFrame, out: str, into: str) -> DataFrame:
-    """Each cost row as ``out``, each income row as ``into`` (both, if it is both)."""
+    """Each cost row as ``out``, each income row as ``into`` (both, if it is both).
+
+    The filter says the same as the array; it can go below the joins that the rows come from.
+    """
     hits = F.array(F.when(_is_cost(), F.lit(out)), F.when(_is_income(), F.lit(into)))
-    return rows.withColumn("direction", F.explode(F.array_compact(hits)))
+    wanted = rows.where(_is_cost() | _is_income())
+    return wanted.withColumn("direction", F.explode(F.array_compact(hits)))
 
 
 def _signed(direction_out: str) -> Column:
@@ -152,10 +156,11 @@ def _signed(direction_out: str) -> Column:
 def _of_projects(rows: DataFrame, projects: DataFrame, regex: bool = False) -> DataFrame:
     """Rows whose customer contains the short name of a project, or fits it as a regex, once per project.
 
-    Unknown customers belong to no project and stay out of the join.
+    Unknown customers belong to no project and stay out of the join.  The rows are read for their distinct
+    customers and for the join, so they are written first.
     """
     names = projects.select(F.col("project_name").alias("clue")).distinct()
-    known = rows.where(F.col("customer").isNotNull())
+    known = kept(rows.where(F.col("customer").isNotNull()))
     if regex:
         pairs = matching_values(known, "customer", kept(names), "clue")
     else:
@@ -193,22 +198,20 @@ def project_status(ledger: DataFrame, recent: DataFrame, skip_missing: bool = Fa
 
 def cashflow_levels(ledger: DataFrame, projects: DataFrame, skip_missing: bool = False) -> DataFrame:
     """Cash flow per day and account level: outflow negative, inflow by invoice."""
-    keys = ["customer", "date", "account", "class", "num", "direction"]
-    # sum per customer first: the projects then meet far fewer rows
-    summed = (
-        _directed(ledger, "outflow", "inflow")
-        .withColumns(
-            {
-                "num": F.when(F.col("direction") == "inflow", F.col("num")),
-                "class": F.when(F.col("direction") == "outflow", F.col("class")),
-            }
-        )
-        .groupBy(*keys)
-        .agg(total("amount", skip_missing).alias("amount"))
+    keys = ["date", "account", "class", "num", "direction"]
+    # a sum per customer, day and invoice is about a line: lines meet the projects, sums are by project
+    lines = _directed(ledger, "outflow", "inflow").select(
+        "customer",
+        "date",
+        "account",
+        F.when(F.col("direction") == "outflow", F.col("class")).alias("class"),
+        F.when(F.col("direction") == "inflow", F.col("num")).alias("num"),
+        "direction",
+        "amount",
     )
     by_project = (
-        _of_projects(summed, projects)
-        .groupBy("clue", *keys[1:])
+        _of_projects(lines, projects)
+        .groupBy("clue", *keys)
         .agg(total("amount", skip_missing).alias("amount"))
     )
     is_out = F.col("direction") == "outflow"

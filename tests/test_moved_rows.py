@@ -85,3 +85,36 @@ def test_rows_of_a_snapshot_with_parts(spark):
     assert receivables.snapshot_delta(new, new, part="date").count() == 0
     with pytest.raises(ValueError, match="memo"):
         receivables.snapshot_delta(new, old, part="memo")
+
+
+@pytest.fixture
+def book(spark, tmp_path):
+    rows = [
+        (D1, "Invoice", "S1", "v", None, "C 1:BUILD", "4.Operational Income:x", 5, "m"),
+        (D2, "Bill", "S2", "v", "Framing", "C 1:BUILD", "Cost of Goods Sold:Direct Labor (DL):x", 7, "WAGE PAY"),
+        (D2, "Bill", "S2", "w", "Framing", "C 2:BUILD", "Cost of Goods Sold:Direct Labor (DL):x", 4, "WAGE PAY"),
+        (D3, "Bill", "S3", "w", "Framing", None, "Cost of Goods Sold:Direct Labor (DL):x", 9, "WAGE PAY"),
+    ]
+    kinds = "date date, type string, num string, name string, class string, customer string, account string, amount int, memo string"
+    df = spark.createDataFrame(rows, kinds).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    df.write.parquet(f"{tmp_path}/book")
+    return spark.read.parquet(f"{tmp_path}/book")
+
+
+def reads(df):
+    return [f for f in df.inputFiles() if "/book/" in f]
+
+
+def test_cash_flows_read_the_ledger_once(spark, book):
+    recent = spark.createDataFrame(
+        [("C 1", "BUILD", 1, 5, "BUILD", "build.xlsx")],
+        "customer string, project string, n int, volume int, project_name string, file_name string",
+    )
+    flow = projects.project_cashflow(book.drop("memo"), recent)
+    levels = projects.cashflow_levels(book, recent)
+    status = projects.project_status(book, recent)
+    assert [reads(df) for df in (flow, levels, status)] == [[], [], []]
+    assert sorted(int(r.amount) for r in flow.collect()) == [-7, -4, 5]
+    # both customers' costs of a day, account and class are one line of the project
+    assert sorted((r.direction, int(r.amount)) for r in levels.collect()) == [("inflow", 5), ("outflow", -11)]
+    assert int(status.first()["status"]) == -6
