@@ -234,13 +234,18 @@ def new_vendors_in(expenses: DataFrame, windows: DataFrame) -> DataFrame:
     day of a vendor (or of an account of that name) decides, so no row is compared with another.
     """
     known = expenses.where(F.col("name").isNotNull() & F.col("account").isNotNull())
-    rows = known.select("date", "type", "name", "account", "amount").na.drop("any").distinct()
+    # rows and first days are taken from the written lines, so the ledger is read once
+    known = kept(known.select("date", "type", "name", "account", "amount"))
     wanted = windows.select("initial", "future_first", "future_last").na.drop("any").distinct()
-    placed = in_windows(rows, "date", wanted, "future_first", "future_last")
     firsts = known.groupBy("name", "account").agg(F.min("date").alias("seen"))
     vendors = firsts.groupBy("name").agg(F.min("seen").alias("vendor_seen"))
     accounts = firsts.groupBy(F.col("account").alias("name")).agg(F.min("seen").alias("account_seen"))
-    marked = placed.join(vendors, "name").join(accounts, "name", "left")
+    # rows meet their first days before windows repeat them; a vendor first seen up to the earliest ``initial``
+    # is new to no window
+    earliest = wanted.agg(F.min("initial")).scalar()
+    seen = vendors.where(F.col("vendor_seen") > earliest).join(accounts, "name", "left")
+    rows = known.na.drop("any").join(seen, "name").distinct()
+    marked = in_windows(rows, "date", wanted, "future_first", "future_last")
     return marked.where(F.col("vendor_seen") > F.col("initial")).select(
         "initial", "future_first", "future_last", "date", "type", "name", "account", "amount",
         F.coalesce(F.col("account_seen") <= F.col("initial"), F.lit(False)).alias("classic_account"),

@@ -118,3 +118,12 @@ def test_cash_flows_read_the_ledger_once(spark, book):
     # both customers' costs of a day, account and class are one line of the project
     assert sorted((r.direction, int(r.amount)) for r in levels.collect()) == [("inflow", 5), ("outflow", -11)]
     assert int(status.first()["status"]) == -6
+
+
+def test_new_vendors_of_windows_read_the_ledger_once(spark, book):
+    windows = spark.createDataFrame([(D1, D1, D3), (D2, D1, D3)], "initial date, future_first date, future_last date")
+    found = expenses.new_vendors_in(book, windows)
+    assert reads(found) == []
+    # v was seen on the first day, w on the second: w is new to the first window only
+    got = sorted((r.initial, r.date, r.name) for r in found.collect())
+    assert got == [(D1, D2, "w"), (D1, D3, "w")]
