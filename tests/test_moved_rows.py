@@ -127,3 +127,9 @@ def test_new_vendors_of_windows_read_the_ledger_once(spark, book):
     # v was seen on the first day, w on the second: w is new to the first window only
     got = sorted((r.initial, r.date, r.name) for r in found.collect())
     assert got == [(D1, D2, "w"), (D1, D3, "w")]
+
+
+def test_the_wages_summary_reads_the_ledger_once(spark, book):
+    out = reconcile.wages_summary(book)
+    assert reads(out) == []
+    assert (out.first()["n"], out.first()["median"], out.first()["last_day"]) == (3, 7.0, D3)
