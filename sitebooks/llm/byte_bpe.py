@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from .shared import small_batches
 
 #: Pieces kept by a worker, pieces given to one recursive query, memory for it.
-KEPT, AT_ONCE, MEMORY = 250_000, 20_000, "200MB"
+KEPT, AT_ONCE, MEMORY = 800_000, 20_000, "200MB"
 #: Bytes from which a piece is contracted step by step on its own, without the rows of earlier steps.
 LONG_PIECE = 200
 
 #: A row also knows its right neighbour, so a step only meets the merge table, finds the best place of
-#: each piece, and changes the rows around that place.
+#: each piece, and changes the rows around that place.  What is found per piece (the place, the row that goes, its
+#: neighbour) has one row a piece, so only these small tables are hashed, and the rows pass them.
 _STEP = """
 with recursive step(piece, pos, token, right_pos, right_token, done) as (
     select piece, pos, token, lead(pos) over w, lead(token) over w, false
@@ -44,32 +45,34 @@ with recursive step(piece, pos, token, right_pos, right_token, done) as (
     union all
     select * from (
         with pairs as materialized (
-            select s.*, m.merged, m.merged::bigint * 65536 + s.pos as place
+            select s.*, m.merged::bigint * 65536 + s.pos as place
             from step s left join merges m on m.first = s.token and m.second = s.right_token
             where not s.done
         ), best as materialized (
             select piece, min(place) as place from pairs group by piece
         ), chosen as materialized (
-            select p.piece, p.pos, p.merged, p.right_pos from pairs p join best b on p.piece = b.piece and p.place = b.place
+            select b.piece, (b.place % 65536)::int as pos, (b.place // 65536)::int as merged, p.right_pos as gone
+            from best b left join pairs p on p.piece = b.piece and p.pos = b.place % 65536
+        ), around as materialized (
+            select c.*, r.right_pos, r.right_token
+            from chosen c left join pairs r on r.piece = c.piece and r.pos = c.gone
         )
         select p.piece, p.pos,
                case when p.pos = c.pos then c.merged else p.token end,
-               case when p.pos = c.pos then r.right_pos else p.right_pos end,
-               case when p.pos = c.pos then r.right_token when p.right_pos = c.pos then c.merged else p.right_token end,
-               c.piece is null
-        from pairs p
-        left join chosen c on p.piece = c.piece
-        left join pairs r on r.piece = c.piece and r.pos = c.right_pos
-        where c.piece is null or p.pos <> c.right_pos
+               case when p.pos = c.pos then c.right_pos else p.right_pos end,
+               case when p.pos = c.pos then c.right_token when p.right_pos = c.pos then c.merged else p.right_token end,
+               c.pos is null
+        from pairs p join around c on p.piece = c.piece
+        where c.pos is null or p.pos <> c.gone
     )
 )
 """
 _ENCODE = _STEP + """
 select piece, list(token order by pos) as ids from step where done group by piece
 """
-#: Encoding and decoding at once: ordered aggregation of the ids and of their bytes.
+#: Encoding and decoding at once: one ordered aggregation of the ids, as texts with a space behind, and of their bytes.
 _BOTH = _STEP + """
-select piece, string_agg(token::varchar, ' ' order by pos) as ids, list(bytes order by pos) as parts
+select piece, list({written: written, bytes: bytes} order by pos) as parts
 from step join vocabulary using (token) where done group by piece
 """
 #: One step for long pieces: all places of the lowest rank at once, from the left where they overlap.
@@ -118,6 +121,14 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({name: columns[:, i] for i, name in enumerate(("first", "second", "merged"))})
 
 
+def _side_by_side(parts: pa.ListArray, field: str) -> tuple[bytes, list[int]]:
+    """One field of lists of structs: its values as they lie side by side, and where each list begins and ends."""
+    values = parts.values.field(field)
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset :]
+    return data.to_pybytes(), ends[parts.offsets.to_numpy()].tolist()
+
+
 class RecursiveBpe:
     """One DuckDB connection with the merge table and the vocabulary."""
 
@@ -132,7 +143,8 @@ class RecursiveBpe:
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.base.execute("set preserve_insertion_order = false")
         self._load("merges", merge_table(ranks))
-        self._load("vocabulary", pa.table({"token": pa.array(self.tokens, pa.int32()), "bytes": pa.array(self.tokens.values(), pa.binary())}))
+        fields = [pa.array(self.tokens, pa.int32()), pa.array([f"{t} " for t in self.tokens]), pa.array(self.tokens.values(), pa.binary())]
+        self._load("vocabulary", pa.table(fields, ["token", "written", "bytes"]))
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.base.register("incoming", rows)
@@ -204,14 +216,11 @@ class RecursiveBpe:
             self._load("pieces", self._positions([p.encode() for p in part]))
             found = self.base.sql(_BOTH).to_arrow_table().combine_chunks()
             own = [part[number] for number in found.column("piece").to_pylist()]
-            self.ids.update(zip(own, found.column("ids").to_pylist(), strict=True))
-            # the bytes of a piece's tokens lie side by side
             parts = found.column("parts").combine_chunks()
-            tokens = parts.values
-            _, ends, data = tokens.buffers()
-            ends = np.frombuffer(ends, np.int32)[tokens.offset :]
-            bounds = ends[parts.offsets.to_numpy()].tolist()
-            data = data.to_pybytes()
+            written, bounds = _side_by_side(parts, "written")
+            written = written.decode()
+            self.ids.update((p, written[x : y - 1]) for p, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
+            data, bounds = _side_by_side(parts, "bytes")
             self.raw.update((p, data[x:y]) for p, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
         coded = self.encode_pieces([p.encode() for p in long])
         for piece, ids, raw in zip(long, coded, self.decode_pieces(coded) if coded else [], strict=True):
@@ -239,8 +248,21 @@ def worker_bpe(raw: bytes, pattern: str) -> RecursiveBpe:
     return _workers[key]
 
 
-#: Characters of text handled at once.
-STEP_CHARACTERS = 1 << 20
+#: Characters of text handled at once: each recursive query costs the same again, however few its pieces.
+STEP_CHARACTERS = 4 << 20
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, until their texts are as large as a step."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= STEP_CHARACTERS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
@@ -266,7 +288,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, texts: bool = False) ->
     schema += ", ids array<int>, decoded string" if texts else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _grouped(batches):
             bpe = worker_bpe(ranks.value, pattern)
             count, coded, decoded, ids, plain = [], [], [], [], []
             for step in _steps(batch.column(1).fill_null("").to_pylist()):
