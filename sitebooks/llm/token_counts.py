@@ -14,7 +14,7 @@ text at once leave two equal rows, which are read as one.  Repeated rows repeat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from importlib.metadata import version
 from pathlib import Path
 
@@ -39,7 +39,7 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes() + f"{library} {version(library)}".encode()).hexdigest()
 
 
-def _counter(raw: bytes, kind: str):
+def _counter(raw: bytes, kind: str) -> Callable[[list[str]], list[int]]:
     if kind == "model":
         import sentencepiece
 
@@ -50,7 +50,19 @@ def _counter(raw: bytes, kind: str):
     tokenizer = Tokenizer.from_buffer(raw)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+_workers: dict[tuple[str, str], Callable[[list[str]], list[int]]] = {}
+
+
+def _worker_counter(raw: bytes, kind: str, mark: str) -> Callable[[list[str]], list[int]]:
+    """The counter of this worker process, which outlives a task: it is read once, and the library keeps the words it met."""
+    key = (kind, mark)
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = _counter(raw, kind)
+    return _workers[key]
 
 
 def _calls(texts: list[str]) -> Iterator[list[str]]:
@@ -72,9 +84,8 @@ def _encoded(misses: DataFrame, path: str, mark: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        count = None
         for batch in batches:
-            count = count or _counter(vocabulary.value, kind)
+            count = _worker_counter(vocabulary.value, kind, mark)
             texts = batch.column("text").to_pylist()
             tokens = [n for call in _calls(texts) for n in count(call)]
             yield pa.RecordBatch.from_pydict(

@@ -5,7 +5,7 @@ from pathlib import Path
 import public_tokenizers
 import pyarrow as pa
 
-from sitebooks.llm import byte_bpe
+from sitebooks.llm import byte_bpe, token_counts
 
 
 def test_met_pieces_are_not_learned_again():
@@ -29,3 +29,11 @@ def test_small_batches_are_learned_together():
     assert list(byte_bpe._grouped(iter([]))) == []
     large = pa.RecordBatch.from_pydict({"doc_id": [3], "text": ["x" * byte_bpe.STEP_CHARACTERS]})
     assert [b.num_rows for b in byte_bpe._grouped(iter([batch, large, batch]))] == [3, 2]
+
+
+def test_a_worker_reads_the_vocabulary_once():
+    raw = Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes()
+    count = token_counts._worker_counter(raw, "json", "mark")
+    assert token_counts._worker_counter(raw, "json", "mark") is count
+    assert token_counts._worker_counter(raw, "json", "another") is not count
+    assert count(["", "one two"])[0] == 0
