@@ -19,6 +19,7 @@ texts without trigrams; a null language or source is a value of its own.  Repeat
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -164,6 +165,7 @@ def _sampled_views(rows: DataFrame) -> DataFrame:
             text, meta = views(batch)
             yield pa.RecordBatch.from_pydict(
                 {
+                    "place": batch.column("place"),
                     "doc_id": batch.column("doc_id"),
                     "quality": batch.column("quality"),
                     "text": pa.array([x.astype(np.float16).tobytes() for x in text], pa.binary()),
@@ -171,7 +173,7 @@ def _sampled_views(rows: DataFrame) -> DataFrame:
                 }
             )
 
-    return rows.mapInArrow(see, "doc_id bigint, quality int, text binary, meta binary")
+    return rows.mapInArrow(see, "place bigint, doc_id bigint, quality int, text binary, meta binary")
 
 
 def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
@@ -184,18 +186,37 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     rest = rest.distinct().orderBy(first, "doc_id").limit(pool).withColumn("quality", F.lit(None).cast("int"))
     sample = named.union(rest)  # at most labelled + pool ids
     rows = docs.select("doc_id", *_INPUTS).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", *_INPUTS)
-    found = _sampled_views(rows).collect()
-    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
-    matrix = lambda rows, name, kind: np.array([np.frombuffer(r[name], kind) for r in rows], np.float32)
-    told = [r for r in found if r["quality"] is not None]
-    y = np.array([r["quality"] for r in told], float)
-    if len(set(y)) < 2:
-        return None
-    other = [r for r in found if r["quality"] is None]
-    both = lambda rows: [matrix(rows, "text", np.float16), matrix(rows, "meta", np.float32)] if rows else [np.zeros((0, TEXT_SIZE), np.float32), np.zeros((0, 14 + 2 * NAME_SIZE), np.float32)]
-    known, unknown = both(told), both(other)
-    del found, told, other  # the rows themselves are as large as the views made of them
-    return co_train(known, y, unknown)
+    model = _trained_in_task(_sampled_views(rows.withColumn("place", F.monotonically_increasing_id()))).first()
+    return None if model is None else pickle.loads(model["model"])
+
+
+def _trained_in_task(found: DataFrame) -> DataFrame:
+    """One row with the model, or none.  The sample is bounded and meets in one task, so the driver never holds it."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        sample = pa.Table.from_batches(held).sort_by("place")
+        del held
+        places = {d: i for i, d in enumerate(sample.column("doc_id").to_pylist())}  # of rows with one id the last
+        order = np.array([places[d] for d in sorted(places, key=lambda d: zlib.crc32(str(d).encode()))])
+        quality = sample.column("quality").take(pa.array(order))
+        is_told = quality.is_valid().to_numpy()
+        y = quality.drop_null().to_numpy().astype(float)
+        if len(set(y)) < 2:
+            return
+        known, unknown = [], []
+        for name, kind in (("text", np.float16), ("meta", np.float32)):
+            # all values of a view are of one size
+            whole = sample.column(name).cast(pa.large_binary()).combine_chunks()
+            whole = np.frombuffer(whole.buffers()[2], kind).reshape(len(whole), -1)
+            known.append(whole[order[is_told]].astype(np.float32))
+            unknown.append(whole[order[~is_told]].astype(np.float32))
+        del sample, whole
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(co_train(known, y, unknown))], pa.binary())})
+
+    return found.repartition(1).mapInArrow(train, "model binary")
 
 
 def scored(docs: DataFrame, model: CoTrained | None) -> tuple[DataFrame, list[str]]:

@@ -5,7 +5,7 @@ from pathlib import Path
 import public_tokenizers
 import pyarrow as pa
 
-from sitebooks.llm import byte_bpe, token_counts
+from sitebooks.llm import byte_bpe, quality, queries, token_counts
 
 
 def test_met_pieces_are_not_learned_again():
@@ -37,3 +37,22 @@ def test_a_worker_reads_the_vocabulary_once():
     assert token_counts._worker_counter(raw, "json", "mark") is count
     assert token_counts._worker_counter(raw, "json", "another") is not count
     assert count(["", "one two"])[0] == 0
+
+
+def test_quality_sample_stays_out_of_the_driver(spark, monkeypatch):
+    queries.workers_find_package(spark)
+    rows = [(i, "good words here" if i % 2 else "!!!! #### 0000", "en", "web", 15) for i in range(60)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    collected, collect = [], type(documents).collect
+
+    def counted(df):
+        found = collect(df)
+        collected.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(documents), "collect", counted)
+    model = quality.trained(documents, labels)
+    assert [len(w) for w in model.weights] == [quality.TEXT_SIZE + 1, 14 + 2 * quality.NAME_SIZE + 1]
+    assert max(collected) == 1
+    assert quality.trained(documents, labels.where("quality = 1")) is None
