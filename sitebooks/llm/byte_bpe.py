@@ -28,10 +28,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
+from .shared import small_batches, worker_keeps
 
 #: Pieces kept by a worker, pieces given to one recursive query, memory for it.
-KEPT, AT_ONCE, MEMORY = 800_000, 20_000, "200MB"
+KEPT, AT_ONCE, MEMORY = 400_000, 20_000, "200MB"
 #: Bytes from which a piece is contracted step by step on its own, without the rows of earlier steps.
 LONG_PIECE = 200
 
@@ -236,16 +236,9 @@ class RecursiveBpe:
             yield joined.count(" ") + bool(joined), joined, b"".join(map(raw, pieces))
 
 
-_workers: dict[bytes, RecursiveBpe] = {}
-
-
 def worker_bpe(raw: bytes, pattern: str) -> RecursiveBpe:
     """The encoder of this worker process, which outlives a task."""
-    key = hashlib.sha256(raw + pattern.encode()).digest()
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = RecursiveBpe(raw, pattern)
-    return _workers[key]
+    return worker_keeps(hashlib.sha256(raw + pattern.encode()).digest(), lambda: RecursiveBpe(raw, pattern))
 
 
 #: Characters of text handled at once: each recursive query costs the same again, however few its pieces.

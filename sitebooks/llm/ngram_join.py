@@ -145,13 +145,13 @@ def _levels(counted: DataFrame) -> DataFrame:
         lists = list(zip(sent.column("places").to_pylist(), sent.column("counts").to_pylist(), strict=True))
         for places, counts in lists:
             sums[_unpacked(places)] += np.frombuffer(counts, np.uint8)
-        level = np.minimum(np.ceil(4 * np.log2(1.0 + sums)), 255).astype(np.uint8)
         back, levels = [], []
         for places, _ in lists:
             own = _unpacked(places)
             own = own[sums[own] > 1]
             back.append(_packed(own))
-            levels.append(level[own].tobytes())
+            # of the used counters only: a list is small, all counters of a block as doubles are not
+            levels.append(np.minimum(np.ceil(4 * np.log2(1.0 + sums[own])), 255).astype(np.uint8).tobytes())
         fields = [sent.column("chunk"), sent.column("block"), pa.array(back, pa.binary()), pa.array(levels, pa.binary())]
         return pa.table(fields, ["chunk", "block", "places", "levels"])
 

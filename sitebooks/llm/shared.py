@@ -7,7 +7,8 @@ polynomial hash from prefix sums, and no Python loop runs over words.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -71,11 +72,32 @@ def ascii_lower(text: Column) -> Column:
     ).otherwise(F.lower(text))
 
 
+# -- what a worker process keeps ----------------------------------------------
+
+_kept_here: dict[Hashable, Any] = {}
+
+
+def worker_keeps(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave in this worker process, which outlives a task; only the last key's, so operators do not add up."""
+    if key not in _kept_here:
+        worker_gives_back()
+        _kept_here[key] = make()
+    return _kept_here[key]
+
+
+def worker_gives_back() -> None:
+    """Let go of what another operator's tasks left in this worker process."""
+    if _kept_here:
+        _kept_here.clear()
+        pa.default_memory_pool().release_unused()
+
+
 # -- batches of texts ---------------------------------------------------------
 
 
 def text_steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of slices of about STEP_BYTES; a null text is empty."""
+    worker_gives_back()  # operators that hash texts keep nothing
     texts = batch.column(batch.schema.get_field_index(column)).fill_null("").cast(pa.large_string())
     if not len(texts):
         return

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, worker_keeps
 
 CACHE = "content binary, version string, n_bytes bigint, n_tokens bigint"
 #: Texts encoded in one call.
@@ -53,16 +53,9 @@ def _counter(raw: bytes, kind: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-_workers: dict[tuple[str, str], Callable[[list[str]], list[int]]] = {}
-
-
 def _worker_counter(raw: bytes, kind: str, mark: str) -> Callable[[list[str]], list[int]]:
     """The counter of this worker process, which outlives a task: it is read once, and the library keeps the words it met."""
-    key = (kind, mark)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = _counter(raw, kind)
-    return _workers[key]
+    return worker_keeps((kind, mark), lambda: _counter(raw, kind))
 
 
 def _calls(texts: list[str]) -> Iterator[list[str]]:
