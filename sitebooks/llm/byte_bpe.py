@@ -30,18 +30,19 @@ from pyspark.sql import DataFrame
 
 from .shared import small_batches, worker_keeps
 
-#: Pieces kept by a worker, pieces given to one recursive query, memory for it.
-KEPT, AT_ONCE, MEMORY = 400_000, 20_000, "200MB"
+#: Pieces kept by a worker; pieces and bytes of them given to one recursive query (a longer piece goes alone).
+KEPT, AT_ONCE, AT_ONCE_BYTES = 400_000, 20_000, 1 << 18
 #: Bytes from which a piece is contracted step by step on its own, without the rows of earlier steps.
 LONG_PIECE = 200
+#: Memory for a query of usual pieces, which DuckDB does not give back, and for one of long pieces.
+MEMORY, LONG_MEMORY = "64MB", "200MB"
 
 #: A row also knows its right neighbour, so a step only meets the merge table, finds the best place of
 #: each piece, and changes the rows around that place.  What is found per piece (the place, the row that goes, its
 #: neighbour) has one row a piece, so only these small tables are hashed, and the rows pass them.
 _STEP = """
 with recursive step(piece, pos, token, right_pos, right_token, done) as (
-    select piece, pos, token, lead(pos) over w, lead(token) over w, false
-    from pieces window w as (partition by piece order by pos)
+    select piece, pos, token, right_pos, right_token, false from pieces
     union all
     select * from (
         with pairs as materialized (
@@ -80,7 +81,7 @@ from step join vocabulary using (token) where done group by piece
 _LONG_STEP = """
 create or replace table longer as
 with near as (
-    select *, lead(token) over w as neighbour, row_number() over w as number
+    select piece, pos, token, lead(token) over w as neighbour, row_number() over w as number
     from long_pieces window w as (partition by piece order by pos)
 ), ranked as (
     select n.*, m.merged, coalesce(m.merged = min(m.merged) over (partition by n.piece), false) as hit
@@ -111,16 +112,29 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     Merging two neighbours is allowed whenever their joint bytes have a rank, and that rank is the
     order, so each token contributes all its cuts into two tokens.
     """
-    rows = [
+    rows = (
         (ranks[token[:cut]], ranks[token[cut:]], rank)
         for token, rank in ranks.items()
         for cut in range(1, len(token))
         if token[:cut] in ranks and token[cut:] in ranks
-    ]
-    columns = np.array(rows, np.int32).reshape(-1, 3)
+    )
+    columns = np.fromiter(rows, np.dtype((np.int32, 3)))  # row by row: no list of them is held
     return pa.table({name: columns[:, i] for i, name in enumerate(("first", "second", "merged"))})
 
 
+def _at_once(pieces: list[str]) -> Iterator[list[str]]:
+    """Runs of pieces that one query takes; together they are all pieces."""
+    first, size = 0, 0
+    for i, piece in enumerate(pieces):
+        more = len(piece.encode())
+        if i > first and (i - first >= AT_ONCE or size + more > AT_ONCE_BYTES):
+            yield pieces[first:i]
+            first, size = i, 0
+        size += more
+    if first < len(pieces):
+        yield pieces[first:]
+
+
 def _side_by_side(parts: pa.ListArray, field: str) -> tuple[bytes, list[int]]:
     """One field of lists of structs: its values as they lie side by side, and where each list begins and ends."""
     values = parts.values.field(field)
@@ -157,7 +171,10 @@ class RecursiveBpe:
         piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         pos = (np.arange(int(sizes.sum())) - np.repeat(starts, sizes)).astype(np.int32)
         token = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        return pa.table({"piece": piece, "pos": pos, "token": token})
+        last = np.zeros(len(pos), bool)
+        last[np.cumsum(sizes) - 1] = True  # a piece's last byte has no right neighbour
+        right = {"right_pos": pa.array(pos + 1, mask=last), "right_token": pa.array(np.roll(token, -1), mask=last)}
+        return pa.table({"piece": piece, "pos": pos, "token": token} | right)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece; no piece is empty."""
@@ -168,6 +185,7 @@ class RecursiveBpe:
                 continue
             rows = self._positions([pieces[i] for i in numbers])
             if long:
+                self.base.execute(f"set memory_limit = '{LONG_MEMORY}'")
                 self._load("long_pieces", rows)
                 left = rows.num_rows + 1
                 while (now := self.base.execute("select count(*) from long_pieces").fetchall()[0][0]) < left:
@@ -179,6 +197,8 @@ class RecursiveBpe:
                 self._load("pieces", rows)
                 query = _ENCODE
             found = self.base.sql(query).to_arrow_table()
+            if long:
+                self.base.execute(f"drop table long_pieces; drop table if exists longer; set memory_limit = '{MEMORY}'")
             for piece, ids in zip(found.column("piece").to_pylist(), found.column("ids").to_pylist(), strict=True):
                 out[numbers[piece]] = ids
         return out
@@ -211,8 +231,7 @@ class RecursiveBpe:
         short, long = [], []
         for piece in new:
             (short if len(piece) < LONG_PIECE // 4 else long).append(piece)
-        for i in range(0, len(short), AT_ONCE):
-            part = short[i : i + AT_ONCE]
+        for part in _at_once(short):
             self._load("pieces", self._positions([p.encode() for p in part]))
             found = self.base.sql(_BOTH).to_arrow_table().combine_chunks()
             own = [part[number] for number in found.column("piece").to_pylist()]
@@ -222,9 +241,10 @@ class RecursiveBpe:
             self.ids.update((p, written[x : y - 1]) for p, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
             data, bounds = _side_by_side(parts, "bytes")
             self.raw.update((p, data[x:y]) for p, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
-        coded = self.encode_pieces([p.encode() for p in long])
-        for piece, ids, raw in zip(long, coded, self.decode_pieces(coded) if coded else [], strict=True):
-            self.ids[piece], self.raw[piece] = " ".join(map(str, ids)), raw
+        for part in _at_once(long):
+            coded = self.encode_pieces([p.encode() for p in part])
+            for piece, ids, raw in zip(part, coded, self.decode_pieces(coded), strict=True):
+                self.ids[piece], self.raw[piece] = " ".join(map(str, ids)), raw
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of tokens, ids joined by a space, decoded bytes) of each text."""
@@ -241,8 +261,9 @@ def worker_bpe(raw: bytes, pattern: str) -> RecursiveBpe:
     return worker_keeps(hashlib.sha256(raw + pattern.encode()).digest(), lambda: RecursiveBpe(raw, pattern))
 
 
-#: Characters of text handled at once: each recursive query costs the same again, however few its pieces.
-STEP_CHARACTERS = 4 << 20
+#: Characters of text handled at once: all their pieces are held, and each recursive query costs the same again, however
+#: few its pieces.
+STEP_CHARACTERS = 1 << 20
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

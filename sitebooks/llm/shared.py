@@ -81,6 +81,7 @@ def worker_keeps(key: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` gave in this worker process, which outlives a task; only the last key's, so operators do not add up."""
     if key not in _kept_here:
         worker_gives_back()
+        _powers[:] = [np.zeros(0, np.uint64)] * 2  # as long as the longest text that was hashed here
         _kept_here[key] = make()
     return _kept_here[key]
 
